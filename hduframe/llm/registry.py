@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import byte_bpe, exact_dedup, fingerprints, jaccard_join, language_id, packing, quality, token_counts, toxicity
+from . import brown_lm, byte_bpe, exact_dedup, fingerprints, jaccard_join, language_id, packing, quality, token_counts, toxicity
 from .common import table
 
 
@@ -28,6 +28,11 @@ def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op5_brown_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return brown_lm.score(docs, *brown_lm.train(docs))
+
+
 def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
@@ -61,6 +66,6 @@ SELECT doc_id, keep_id, group_size, place = 1 AS kept, text_sha256 FROM r
 """
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_quality, op2_jaccard_join, op3_token_counts, op4_byte_bpe, op6_best_fit_packing, op7_exact_dedup, op8_toxicity, op9_language_id, op10_fingerprints)
+    f.__name__: f for f in (op1_quality, op2_jaccard_join, op3_token_counts, op4_byte_bpe, op5_brown_lm, op6_best_fit_packing, op7_exact_dedup, op8_toxicity, op9_language_id, op10_fingerprints)
 }
 ORACLE_SQL: dict[str, str] = {"op7_exact_dedup": OP7_SQL}
