@@ -20,7 +20,8 @@ from .common import shingles
 
 BINS = 512
 BITS = 4
-_PRIME = (1 << 61) - 1
+#: Bins that an empty one looks at, one after the other.
+DRAWS = 4096
 
 
 class MinHash:
@@ -29,17 +30,16 @@ class MinHash:
     The fingerprint of an empty set is empty. Likeness of two empty fingerprints is 1, of an empty and another 0.
     """
 
-    def __init__(self, bins: int = BINS, bits: int = BITS, draws: int = 64) -> None:
+    def __init__(self, bins: int = BINS, bits: int = BITS) -> None:
         if bins & (bins - 1) or bits not in (1, 2, 4, 8):
             raise ValueError("bins must be a power of two and bits one of 1, 2, 4, 8")
         self.bins, self.bits = bins, bits
         self.shift = np.uint64(64 - (bins.bit_length() - 1))
-        self.draws = np.array([[self._draw(k, n) for k in range(bins)] for n in range(draws)])
-
-    def _draw(self, k: int, n: int) -> int:
-        """The n-th bin that the empty bin k looks at."""
-        mixed = (0x1B873593CC9E2D51 * (k + 1) + 0x2545F4914F6CDD1D * (n + 1) + 0x5851F42D4C957F2D * (k + 1) * (n + 1)) % _PRIME
-        return mixed % self.bins
+        # The n-th bin that the empty bin k looks at: multiply, add and shift, with random numbers of its own for each k.
+        chance = np.random.default_rng(20_240_229)
+        factor = chance.integers(0, 1 << 63, bins, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+        addend = chance.integers(0, 1 << 63, bins, dtype=np.uint64)
+        self.draws = ((np.arange(1, DRAWS + 1, dtype=np.uint64)[:, None] * factor + addend) >> self.shift).astype(np.int16)
 
     def of(self, hashes: np.ndarray) -> bytes:
         """``hashes``: sorted and distinct."""
@@ -49,29 +49,45 @@ class MinHash:
         first = np.empty(len(bins), bool)  # hashes are sorted, so a bin's first one has its least value
         first[0] = True
         np.not_equal(bins[1:], bins[:-1], out=first[1:])
+        own = bins[first]
         values = np.zeros(self.bins, np.uint64)
         filled = np.zeros(self.bins, bool)
-        values[bins[first]] = hashes[first]
-        filled[bins[first]] = True
-        empty, n = np.flatnonzero(~filled), 0
-        while len(empty):
-            looked = self.draws[n][empty] if n < len(self.draws) else np.array([self._draw(int(k), n) for k in empty])
-            good = filled[looked]
-            values[empty[good]] = values[looked[good]]
-            empty, n = empty[~good], n + 1
+        values[own] = hashes[first]
+        filled[own] = True
+        empty = np.flatnonzero(~filled)
+        if len(own) == 1:
+            values[:] = values[own[0]]
+            empty = empty[:0]
+        step = max(8, min(DRAWS, 4 * self.bins // len(own)))
+        for n in range(0, DRAWS, step):
+            if not len(empty):
+                break
+            looked = self.draws[n : n + step, empty]
+            hit = filled[looked]
+            at = hit.argmax(axis=0)
+            column = np.arange(len(empty))
+            good = hit[at, column]
+            values[empty[good]] = values[looked[at, column][good]]
+            empty = empty[~good]
+        if len(empty):  # after so many draws in vain, the next filled bin
+            values[empty] = values[own[np.searchsorted(own, empty) % len(own)]]
         # the low bits of the least value itself are not uniform over few shingles, so they come from a mix of it
         low = ((values * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.bits)).astype(np.uint8)
-        spread = np.unpackbits(low[:, None], axis=1)[:, 8 - self.bits :]
-        return np.packbits(spread.reshape(-1)).tobytes()
+        if self.bits == 4:
+            return (low[::2] << np.uint8(4) | low[1::2]).tobytes()
+        return np.packbits(np.unpackbits(low[:, None], axis=1)[:, 8 - self.bits :].reshape(-1)).tobytes()
 
     def likeness(self, a: bytes, b: bytes) -> float:
         """Estimate of the Jaccard similarity, 0 to 1."""
         if not a or not b:
             return float(not a and not b)
         different = np.bitwise_xor(np.frombuffer(a, np.uint8), np.frombuffer(b, np.uint8))
-        if self.bits < 8:
-            different = np.unpackbits(different).reshape(-1, self.bits).any(axis=1)
-        agree = 1 - np.count_nonzero(different) / self.bins
+        if self.bits == 4:
+            agree = 1 - (np.count_nonzero(different & 0xF0) + np.count_nonzero(different & 0x0F)) / self.bins
+        elif self.bits < 8:
+            agree = 1 - np.count_nonzero(np.unpackbits(different).reshape(-1, self.bits).any(axis=1)) / self.bins
+        else:
+            agree = 1 - np.count_nonzero(different) / self.bins
         chance = 2.0**-self.bits
         return min(1.0, max(0.0, (agree - chance) / (1 - chance)))
 
