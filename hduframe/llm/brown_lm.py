@@ -175,19 +175,19 @@ def train(docs: DataFrame) -> tuple[BrownModel, DataFrame]:
     ends = counted.where(F.col("word").isNull()).agg(F.coalesce(F.sum("c"), F.lit(0)).alias("c")).first().c
     counts = counted.where(F.col("word").isNotNull())
     totals = counts.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count(F.lit(1)).alias("v")).first()
-    top = counts.orderBy(F.desc("c"), "word").limit(KNOWN).toPandas()
-    known = [bytes(w) for w in top["word"]]
+    top = counts.orderBy(F.desc("c"), "word").limit(KNOWN).toArrow()
+    known = top["word"].to_pylist()
     words = min(WORDS, len(known))
     itemised = [bytes(w) for w in known[:words]]
     ending = F.expr(f"substring(word, -{ENDING_BYTES}, {ENDING_BYTES})")
     short = F.when(F.length("word") <= ENDING_BYTES, F.col("word")).otherwise(ending)
     others = counts.join(F.broadcast(docs.sparkSession.createDataFrame([(w,) for w in itemised], "word binary")), "word", "left_anti")
     by_ending = others.groupBy(short.alias("ending")).agg(F.sum("c").alias("n"), F.count(F.lit(1)).alias("v"))
-    endings = by_ending.orderBy(F.desc("n"), "ending").limit(ENDINGS).toPandas()
-    items = Items(known, top["c"].to_numpy(np.int64), words, [bytes(e) for e in endings["ending"]])
+    endings = by_ending.orderBy(F.desc("n"), "ending").limit(ENDINGS).toArrow()
+    items = Items(known, np.asarray(top["c"], np.int64), words, endings["ending"].to_pylist())
     matrix = np.zeros(items.size**2)
-    bigrams = _count_bigrams(docs, items).toPandas()  # at most the square of the number of items
-    matrix[bigrams["code"].to_numpy(np.int64)] = bigrams["n"].to_numpy(np.float64)
+    bigrams = _count_bigrams(docs, items).toArrow()  # at most the square of the number of items
+    matrix[np.asarray(bigrams["code"], np.int64)] = np.asarray(bigrams["n"], np.float64)
     matrix = matrix.reshape(items.size, items.size)
     classes = exchange_clusters(matrix, min(CLASSES, items.size), SWEEPS, items.end)
     size = classes.max() + 1
@@ -201,7 +201,7 @@ def train(docs: DataFrame) -> tuple[BrownModel, DataFrame]:
     emission = np.log10(own / within[classes])
     # A word's chance in its ending's item is (c + ADDED) / (n + ADDED * (v + 1)); one without a count takes the place of all unseen.
     n, v = np.zeros(items.size), np.zeros(items.size)
-    n[words : items.rest], v[words : items.rest] = endings["n"], endings["v"]
+    n[words : items.rest], v[words : items.rest] = np.asarray(endings["n"]), np.asarray(endings["v"])
     n[items.rest] = float(totals.n - items.counts[:words].sum() - n[words : items.rest].sum())
     v[items.rest] = float(totals.v - words - v[words : items.rest].sum())
     inside = np.arange(items.size)
