@@ -134,7 +134,8 @@ def exchange_clusters(counts: np.ndarray, classes: int, sweeps: int, fixed: int)
             between[:, a] -= left
             between[a, :] -= right
             between[a, a] -= own
-            rows, columns = between.sum(axis=1), between.sum(axis=0)
+            # wherever w goes, what precedes it counts in its classes' rows, and what follows it in columns
+            rows, columns = between.sum(axis=1) + left, between.sum(axis=0) + right
             gain = (xlogx(between + left[:, None]) - xlogx(between)).sum(axis=0) + (xlogx(between + right[None, :]) - xlogx(between)).sum(axis=1)
             inner = np.diagonal(between)
             gain += xlogx(inner + left + right + own) - xlogx(inner + left) - xlogx(inner + right) + xlogx(inner)
