@@ -76,7 +76,7 @@ DECODE = "SELECT text, string_agg(hex, '' ORDER BY place) AS hex FROM coded JOIN
 class DuckBPE:
     """Encoder and decoder for the ranks in a file of base64 tokens and numbers, words being the matches of ``pattern``."""
 
-    def __init__(self, path: str, pattern: str, remember: int = 250_000) -> None:
+    def __init__(self, path: str, pattern: str, remember: int = 500_000) -> None:
         with open(path, "rb") as file:
             rank = {base64.b64decode(t): int(n) for t, n in (line.split() for line in file if line.strip())}
         self.byte_rank = np.array([rank[bytes([b])] for b in range(256)], np.int32)
@@ -95,7 +95,7 @@ class DuckBPE:
         self.db.register("given", pa.table({"token": pa.array(list(rank.values()), pa.int32()), "hex": [t.hex() for t in rank]}))
         self.db.execute("CREATE TABLE vocabulary AS SELECT * FROM given")
         self.db.unregister("given")
-        self.words, self.units, self.decoded = Memo(remember), Memo(remember), Memo(remember)
+        self.words, self.units = Memo(remember), Memo(remember)
 
     def encode_words(self, words: list[bytes]) -> list[bytes]:
         """Ids of each word, as little-endian unsigned 32-bit integers."""
@@ -144,21 +144,16 @@ class DuckBPE:
             out += [bytes.fromhex(found.get(k, "")) for k in range(len(some))]
         return out
 
-    def _encode_units(self, units: list[bytes]) -> list[bytes]:
+    def _code_units(self, units: list[bytes]) -> list[tuple[bytes, bytes]]:
         cut = [self.cutter.pieces(u) for u in units]
-        ids = self.words.resolve({p for pieces in cut for p in pieces}, self.encode_words)
-        return [b"".join([ids[p] for p in pieces]) for pieces in cut]
+        ids = list(map(b"".join, self.words.each(cut, self.encode_words)))
+        return list(zip(ids, self.decode_many(ids), strict=True))
 
-    def encode(self, texts: Iterable[bytes]) -> list[list[bytes]]:
-        """Each text's ids, in parts: joined, the parts are its ids as little-endian unsigned 32-bit integers."""
-        cut = [self.cutter.units(x) for x in texts]
-        ids = self.units.resolve({u for units in cut for u in units}, self._encode_units)
-        return [[ids[u] for u in units] for units in cut]
-
-    def decode(self, coded: list[list[bytes]]) -> list[bytes]:
-        """The texts of ids in parts: a byte-level token stands for its bytes wherever it is, so parts decode separately."""
-        known = self.decoded.resolve({c for parts in coded for c in parts}, self.decode_many)
-        return [b"".join([known[c] for c in parts]) for parts in coded]
+    def code(self, texts: Iterable[bytes]) -> tuple[list[bytes], list[bytes]]:
+        """Each text's ids, as little-endian unsigned 32-bit integers, and the bytes that they decode to. A byte-level token stands
+        for its bytes wherever it is, so the ids of a unit are decoded once, when it is met first."""
+        coded = self.units.each([self.cutter.units(x) for x in texts], self._code_units)
+        return [b"".join([i for i, _ in parts]) for parts in coded], [b"".join([d for _, d in parts]) for parts in coded]
 
 
 _CODECS: dict[tuple[str, str], DuckBPE] = {}
@@ -176,7 +171,7 @@ def encode(df: DataFrame, path: str, pattern: str, id_column: str = "doc_id", te
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = _codec(path, pattern)
         for batch in batches(rows, 1024):
-            ids = [np.frombuffer(b"".join(parts), "<u4").astype(np.int32) for parts in codec.encode(utf8(batch.column(1)))]
+            ids = [np.frombuffer(x, "<u4").astype(np.int32) for x in codec.code(utf8(batch.column(1)))[0]]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.list_(pa.int32()))], names=[id_column, "ids"])
 
     kind = df.schema[id_column].dataType.simpleString()
@@ -207,9 +202,7 @@ def round_trip(df: DataFrame, path: str, pattern: str, id_column: str = "doc_id"
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = _codec(path, pattern)
         for batch in batches(rows, 2048):
-            coded = codec.encode(utf8(batch.column(1)))
-            decoded = codec.decode(coded)
-            joined = [b"".join(parts) for parts in coded]
+            joined, decoded = codec.code(utf8(batch.column(1)))
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column(0),

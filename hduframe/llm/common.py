@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 SHINGLE_WORDS = 5
 #: Texts are hashed in runs of about this many bytes, so that memory doesn't depend on the batch.
-CHUNK_BYTES = 1 << 20
+CHUNK_BYTES = 1 << 19
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -166,21 +166,40 @@ def utf8(column: pa.Array) -> list[bytes]:
     return [x if x is not None else b"" for x in column.cast(kind).to_pylist()]
 
 
+class _Kept(dict):
+    """Results by key; asked for a key that isn't there, it notes the key and gives None."""
+
+    def __init__(self) -> None:
+        super().__init__()
+        self.asked: list = []
+
+    def __missing__(self, key):
+        self.asked.append(key)
+
+
 class Memo:
     """Results by key for repeated words: a bounded dictionary; beyond the bound, new keys are computed again each batch."""
 
-    def __init__(self, most: int = 400_000) -> None:
-        self.most, self.kept = most, {}
-
-    def resolve(self, keys: set, compute) -> dict:
-        """A dictionary with what ``compute(list)`` gives for the keys; what isn't kept yet is computed, and kept if it fits."""
-        kept = self.kept
-        missing = [k for k in keys if k not in kept]
-        if not missing:
-            return kept
+    def __init__(self, most: int) -> None:
+        self.most, self.kept = most, _Kept()
+
+    def each(self, lists: list[list], compute) -> list[list]:
+        """The lists with each key replaced by its result. ``compute(list)`` is asked for keys that aren't kept, once each, and
+        doesn't give None; what it gives is kept as long as there is room."""
+        get, asked = self.kept.__getitem__, self.kept.asked
+        asked.clear()
+        found, incomplete = [], []
+        for k, keys in enumerate(lists):
+            before = len(asked)
+            found.append(list(map(get, keys)))
+            if len(asked) > before:
+                incomplete.append(k)
+        if not asked:
+            return found
+        missing = list(dict.fromkeys(asked))
         new = dict(zip(missing, compute(missing), strict=True))
-        if len(kept) + len(new) <= self.most:
-            kept.update(new)
-            return kept
-        new.update((k, kept[k]) for k in keys if k in kept)
-        return new
+        for k in incomplete:
+            found[k] = [new[key] if value is None else value for key, value in zip(lists[k], found[k], strict=True)]
+        room = self.most - len(self.kept)
+        self.kept.update(new if room >= len(new) else list(new.items())[: max(room, 0)])
+        return found

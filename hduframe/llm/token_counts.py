@@ -20,25 +20,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import Memo, batches, utf8
-from .units import Cutter
+from .units import Cutter, byte_symbols
 
 LIMIT = 1024
 
 
-def _byte_symbols() -> dict[str, int]:
-    """The printable character that byte-level vocabularies write for each byte: itself, or one from U+0100 on."""
-    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
-    others = [b for b in range(256) if b not in set(plain)]
-    return {chr(b): b for b in plain} | {chr(256 + k): b for k, b in enumerate(others)}
-
-
 class PrefixCounter:
     """Exact counts for the byte-level BPE in a ``tokenizers`` JSON file, special strings inside texts included."""
 
     def __init__(self, path: str, pattern: str, remember: int = 250_000) -> None:
         with open(path, encoding="utf-8") as file:
             spec = json.load(file)
-        symbol = _byte_symbols()
+        symbol = byte_symbols()
         as_bytes = lambda s: bytes(symbol[c] for c in s)
         self.special = [x["content"].encode() for x in spec["added_tokens"]]
         self.cutter = Cutter(pattern)
@@ -131,14 +124,12 @@ class PrefixCounter:
 
     def _count_units(self, units: list[bytes]) -> list[int]:
         cut = [self.cutter.pieces(u) if u not in self.special else [] for u in units]
-        counts = self.piece_counts.resolve({p for pieces in cut for p in pieces}, lambda ps: [self.prefix_counts(p)[-1] for p in ps])
-        return [sum(counts[p] for p in pieces) if u not in self.special else 1 for u, pieces in zip(units, cut, strict=True)]
+        counts = self.piece_counts.each(cut, lambda ps: [self.prefix_counts(p)[-1] for p in ps])
+        return [sum(c) if u not in self.special else 1 for u, c in zip(units, counts, strict=True)]
 
     def counts(self, texts: Iterable[bytes]) -> list[int]:
         """Tokens of each text."""
-        cut = [self._units(x) for x in texts]
-        known = self.unit_counts.resolve({u for units in cut for u in units}, self._count_units)
-        return [sum(map(known.__getitem__, units)) for units in cut]
+        return list(map(sum, self.unit_counts.each([self._units(x) for x in texts], self._count_units)))
 
     def prefixes(self, text: str) -> Prefixes:
         return Prefixes(self, text)
@@ -183,7 +174,7 @@ def count_tokens(df: DataFrame, path: str, pattern: str, limit: int = LIMIT, id_
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counter = _counter(path, pattern)
-        for batch in batches(rows, 1024):
+        for batch in batches(rows, 4096):
             texts = utf8(batch.column(1))
             counts = counter.counts(texts)
             yield pa.RecordBatch.from_arrays(

@@ -16,6 +16,13 @@ _UNSAFE = re.compile(
 )
 
 
+def byte_symbols() -> dict[str, int]:
+    """The printable character that byte-level vocabularies write for each byte: itself, or one from U+0100 on."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    others = [b for b in range(256) if b not in set(plain)]
+    return {chr(b): b for b in plain} | {chr(256 + k): b for k, b in enumerate(others)}
+
+
 class Cutter:
     """``units``: a text's units, whose concatenation is the text; ``pieces``: the matches of the pattern in a unit."""
 
