@@ -2,10 +2,11 @@
 
 Rows of the matrix are classes of documents with equal shingle sets, columns are shingles. All classes order shingles alike,
 those known to be frequent last, so that two sets alike enough share one among their first few: only these columns are kept.
-Columns are dealt out in blocks. In each, a column's classes are first multiplied with one of them alone; pairs of which that
-sees too little are left. What those links join is then contracted, and the whole product is taken only of columns that still
-hold classes of different components, adding up overlaps over the blocks and discarding pairs that their sizes, and the
-places of their last common shingles, keep below the threshold. What is left is compared whole. Copies, and near copies that
+Columns are dealt out in blocks. In each, a column's classes are first multiplied with one of them alone, in a few rounds; what
+links join is contracted. The whole product is then taken only of columns that still hold classes of different components,
+adding up overlaps over the blocks; a crowded column is itself cut into blocks of classes, and blocks of one component aren't
+multiplied with each other. Pairs are discarded where their sizes, the places of their last common shingles, or how
+their shingles spread over buckets, keep them below the threshold; what is left is compared whole. Copies, and near copies that
 are joined already, thus never become pairs.
 """
 
@@ -18,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import SHINGLE_WORDS, batches, durable, shingles, signature, utf8
+from .common import SHINGLE_WORDS, batches, discard, durable, shingles, signature, utf8
 from .components import components
 
 #: Two sets link when their similarity is at least 80 / 100.
@@ -31,6 +32,14 @@ COUNTED, REPORTED = 2_000_000, 6
 FILTER_BITS = 1 << 24
 
 
+#: Buckets over which a set's shingles are counted; a count of SATURATED or more says nothing.
+BUCKETS, SATURATED = 256, 255
+#: Rounds against one class of each column go on while at least this share of the pairs compared are links.
+WORTHWHILE, ROUNDS = 0.05, 3
+#: Classes of a column from which its product is taken in blocks of about this many classes.
+CROWDED, BLOCK = 64, 512
+
+
 def _as_long(hashes: np.ndarray) -> np.ndarray:
     return hashes.view(np.int64)
 
@@ -40,23 +49,25 @@ def _two_longs(digest: bytes) -> tuple[int, int]:
 
 
 def _survey(docs: DataFrame, words: int) -> DataFrame:
-    """Rows (rid, doc_id, n, s1, s2) for documents, s1 and s2 standing for the set; rows (h, c) for shingles frequent in a task."""
+    """Rows (rid, doc_id, n, s1, s2, spread) for documents: s1 and s2 stand for the set, spread has its counts in buckets. Rows
+    (h, c) for shingles frequent in a task."""
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64()]
-        names = ["rid", "doc_id", "n", "s1", "s2", "h", "c"]
+        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64()]
+        names = ["rid", "doc_id", "n", "s1", "s2", "spread", "h", "c"]
         waiting, size = [], 0
 
         def counted() -> pa.RecordBatch:
             found, counts = np.unique(np.concatenate(waiting), return_counts=True)
             often = counts >= REPORTED
-            nulls = [pa.nulls(int(often.sum()), pa.int64())] * 5
+            nulls = [pa.nulls(int(often.sum()), k) for k in kinds[:6]]
             return pa.RecordBatch.from_arrays([*nulls, pa.array(_as_long(found[often])), pa.array(counts[often].astype(np.int64))], names=names)
 
         for batch in batches(rows):
             out = []
             for rid, doc_id, hashes in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), shingles(utf8(batch.column(2)), words), strict=True):
-                out.append((rid, doc_id, len(hashes), *_two_longs(signature(hashes)), None, None))
+                spread = np.minimum(np.bincount((hashes >> np.uint64(56)).astype(np.int64), minlength=BUCKETS), SATURATED).astype(np.uint8)
+                out.append((rid, doc_id, len(hashes), *_two_longs(signature(hashes)), spread.tobytes(), None, None))
                 waiting.append(hashes)
                 size += len(hashes)
                 if size >= COUNTED:
@@ -67,7 +78,7 @@ def _survey(docs: DataFrame, words: int) -> DataFrame:
         if waiting:
             yield counted()
 
-    return docs.mapInArrow(run, "rid bigint, doc_id bigint, n bigint, s1 bigint, s2 bigint, h bigint, c bigint")
+    return docs.mapInArrow(run, "rid bigint, doc_id bigint, n bigint, s1 bigint, s2 bigint, spread binary, h bigint, c bigint")
 
 
 def _prefixes(docs: DataFrame, words: int, frequent: np.ndarray, order: np.ndarray, threshold: tuple[int, int]) -> DataFrame:
@@ -123,33 +134,102 @@ def _bit():
     return F.pmod(F.xxhash64("rid"), F.lit(FILTER_BITS))
 
 
-def _links(docs: DataFrame, rows: DataFrame, pairs: DataFrame, words: int, threshold: tuple[int, int]) -> DataFrame:
-    """Of pairs (a, b) of classes, those whose whole sets are alike enough."""
+def _compare(pairs: DataFrame, facts: DataFrame, alike) -> DataFrame:
+    """The pairs (a, b) of which ``alike`` holds, for the facts (s1, fact) about both."""
+    both = pairs.join(facts.select(F.col("s1").alias("b"), F.col("fact").alias("of_b")), "b").join(facts.select(F.col("s1").alias("a"), F.col("fact").alias("of_a")), "a")
+
+    def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in rows:
+            keep = [alike(x, y) for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    return both.select("a", "b", "of_a", "of_b").mapInArrow(run, "a bigint, b bigint")
+
+
+def _links(docs: DataFrame, known: DataFrame, pairs: DataFrame, words: int, threshold: tuple[int, int]) -> DataFrame:
+    """Of pairs (a, b) of classes, those whose whole sets are alike enough. ``known``: rows (s1, rid, spread), one per class."""
     num, den = threshold
-    classes = pairs.select(F.col("a").alias("s1")).unionByName(pairs.select(F.col("b").alias("s1"))).distinct()
-    readers = rows.groupBy("s1").agg(F.min("rid").alias("rid")).join(classes, "s1")
-    set_bits = readers.select(_bit().alias("bit")).groupBy((F.col("bit") / 64).cast("int").alias("at")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("bigint"), F.pmod("bit", F.lit(64)).cast("int"))).alias("bits"))
+
+    def may_be(x: bytes, y: bytes) -> bool:
+        p, q = np.frombuffer(x, np.uint8), np.frombuffer(y, np.uint8)
+        if SATURATED in (p.max(), q.max()):
+            return True
+        common, total = int(np.minimum(p, q).sum(dtype=np.int64)), int(p.sum(dtype=np.int64) + q.sum(dtype=np.int64))
+        return den * common >= num * (total - common)
+
+    def are(x: bytes, y: bytes) -> bool:
+        p, q = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+        if len(p) > len(q):
+            p, q = q, p
+        at = np.searchsorted(q, p)
+        at[at == len(q)] = 0
+        common = int(np.count_nonzero(q[at] == p))
+        return den * common >= num * (len(p) + len(q) - common)
+
+    left = durable(_compare(pairs, known.select("s1", F.col("spread").alias("fact")), may_be), "spread")
+    involved = left.select(F.explode(F.array("a", "b")).alias("s1")).distinct()
+    bits = known.select("s1", "rid").join(involved, "s1").select(_bit().alias("bit"))
+    set_bits = bits.groupBy((F.col("bit") / 64).cast("int").alias("at")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("bigint"), F.pmod("bit", F.lit(64)).cast("int"))).alias("bits"))
     wanted = np.zeros(FILTER_BITS // 64, np.int64)
-    for at, bits in set_bits.collect():  # at most FILTER_BITS / 64 rows
-        wanted[at] = bits
-    sets = durable(_sets(docs.withColumn("bit", _bit()), words, wanted.view(np.uint64)).join(readers.select("s1"), "s1").dropDuplicates(["s1"]), "sets")
-    both = pairs.join(sets.select(F.col("s1").alias("b"), F.col("hashes").alias("of_b")), "b").join(sets.select(F.col("s1").alias("a"), F.col("hashes").alias("of_a")), "a")
-
-    def compare(batches_: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches_:
-            kept = []
-            for a, b, x, y in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
-                p, q = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                if len(p) > len(q):
-                    p, q = q, p
-                at = np.searchsorted(q, p)
-                at[at == len(q)] = 0
-                common = int(np.count_nonzero(q[at] == p))
-                if den * common >= num * (len(p) + len(q) - common):
-                    kept.append((a, b))
-            yield pa.RecordBatch.from_arrays([pa.array([k[n] for k in kept], pa.int64()) for n in (0, 1)], names=["a", "b"])
-
-    return both.select("a", "b", "of_a", "of_b").mapInArrow(compare, "a bigint, b bigint")
+    for at, word in set_bits.collect():  # at most FILTER_BITS / 64 rows
+        wanted[at] = word
+    # a document that only its bit let through is in no pair, or has the same set as one that is
+    sets = durable(_sets(docs.withColumn("bit", _bit()), words, wanted.view(np.uint64)), "sets")
+    found = durable(_compare(left, sets.select("s1", F.col("hashes").alias("fact")), are).distinct(), "links")
+    discard(sets)
+    return found
+
+
+def _crowded(left: DataFrame, known: DataFrame, threshold: tuple[int, int]) -> DataFrame:
+    """Pairs (a, b) of crowded columns that may be alike. Blocks hold classes of one large component or of several small ones, so
+    that no task gets a whole column, and those of one component meet nowhere."""
+    num, den = threshold
+    of_root = left.groupBy("h", "root").agg(F.count(F.lit(1)).alias("size"))
+    of_column = of_root.groupBy("h").agg(F.sum(F.when(F.col("size") < BLOCK, F.col("size")).otherwise(0)).alias("small"), F.sum("size").alias("all")).where(F.col("all") > CROWDED)
+    placed = left.join(of_root, ["h", "root"]).join(of_column, "h")
+    large = F.col("size") >= BLOCK
+    parts = lambda size: F.ceil(size / F.lit(BLOCK))
+    block = F.when(large, F.pmod(F.xxhash64("s1"), parts(F.col("size")))).otherwise(F.pmod(F.xxhash64("root"), parts(F.greatest("small", F.lit(1)))))
+    placed = durable(placed.select("h", "s1", "n", "place", "root", F.when(large, F.col("root")).alias("only"), block.alias("block")).join(known.select("s1", "spread"), "s1"), "crowded")
+    blocks = placed.select("h", "only", "block").distinct().withColumn("id", F.xxhash64("only", "block"))
+    i, j = blocks.alias("i"), blocks.alias("j")
+    met = i.join(j, (F.col("i.h") == F.col("j.h")) & (F.col("i.id") <= F.col("j.id"))).where("i.only IS NULL OR j.only IS NULL OR i.only <> j.only")
+    met = met.select(F.col("i.h").alias("h"), F.col("i.id").alias("x"), F.col("j.id").alias("y"))
+    given = placed.withColumn("id", F.xxhash64("only", "block")).drop("only", "block")
+    first = given.join(met.withColumn("id", F.col("x")), ["h", "id"]).withColumn("side", F.lit(0))
+    second = given.join(met.where("x <> y").withColumn("id", F.col("y")), ["h", "id"]).withColumn("side", F.lit(1))
+
+    def multiply(group: pa.Table) -> pa.Table:
+        side = np.asarray(group["side"])
+        s1, n, place, root = (np.asarray(group[c]).astype(np.int64) for c in ("s1", "n", "place", "root"))
+        spread = np.frombuffer(b"".join(group["spread"].to_pylist()), np.uint8).reshape(-1, BUCKETS)
+        full = spread.max(axis=1) == SATURATED
+        p = np.flatnonzero(side == 0)
+        q = np.flatnonzero(side == 1) if (side == 1).any() else p
+        out: list[np.ndarray] = []
+        for at in range(0, len(p), 64):
+            r = p[at : at + 64]
+            total = n[r][:, None] + n[q][None, :]
+            need = -(-total * num // (num + den))
+            good = (root[r][:, None] != root[q][None, :]) & (np.minimum(n[r][:, None], n[q][None, :]) * den >= np.maximum(n[r][:, None], n[q][None, :]) * num)
+            good &= np.minimum((n - place)[r][:, None], (n - place)[q][None, :]) >= need
+            rows, columns = np.nonzero(good)
+            common = np.concatenate([np.minimum(spread[r[rows[k : k + 65536]]], spread[q[columns[k : k + 65536]]]).sum(axis=1, dtype=np.int64) for k in range(0, len(rows), 65536)]) if len(rows) else np.zeros(0, np.int64)
+            may = (common >= need[rows, columns]) | full[r[rows]] | full[q[columns]]
+            out.append(np.stack([s1[r[rows[may]]], s1[q[columns[may]]]], axis=1))
+        both = np.concatenate(out) if out else np.zeros((0, 2), np.int64)
+        return pa.table({"a": both.min(axis=1), "b": both.max(axis=1)}) if len(both) else pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64())})
+
+    return first.unionByName(second).groupBy("h", "x", "y").applyInArrow(multiply, "a bigint, b bigint").distinct()
+
+
+def _mixed(shared: DataFrame, joined: DataFrame | None) -> DataFrame:
+    """Of the incidence, the columns that hold classes of different components, with each class's root."""
+    left = shared.withColumn("root", F.col("s1"))
+    if joined is not None:
+        left = shared.join(joined.select(F.col("node").alias("s1"), "root"), "s1", "left").withColumn("root", F.coalesce("root", "s1"))
+    mixed = left.groupBy("h").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("h")
+    return left.join(mixed, "h")
 
 
 def classes(docs: DataFrame, words: int = SHINGLE_WORDS, threshold: tuple[int, int] = THRESHOLD) -> DataFrame:
@@ -171,33 +251,56 @@ def classes(docs: DataFrame, words: int = SHINGLE_WORDS, threshold: tuple[int, i
     rank = np.arange(len(frequent))[::-1][by_hash]  # the most frequent last
 
     column = Window.partitionBy("h").orderBy("s1")
-    incidence = _prefixes(docs, words, frequent[by_hash], rank, threshold).select(
-        "*", F.first("s1").over(column).alias("c"), F.first("n").over(column).alias("cn"), F.lead("s1").over(column).alias("after")
-    )
-    shared = durable(incidence.where("s1 <> c OR after <> s1").drop("after"), "incidence")
-    sized = lambda p, q: F.least(p, q).cast("bigint") * den >= F.greatest(p, q).cast("bigint") * num
-    first = durable(shared.where("s1 <> c").where(sized(F.col("n"), F.col("cn"))).select(F.col("c").alias("a"), F.col("s1").alias("b")).distinct(), "pairs")
-    links = durable(_links(docs, rows, first, words, threshold), "links")
-    joined = durable(components(links), "joined")
+    incidence = _prefixes(docs, words, frequent[by_hash], rank, threshold).select("*", F.first("s1").over(column).alias("c"), F.lead("s1").over(column).alias("after"))
+    shared = durable(incidence.where("s1 <> c OR after <> s1").select("h", "s1", "n", "place"), "incidence").dropDuplicates(["h", "s1"])
+    first = rows.groupBy("s1").agg(F.min("rid").alias("rid"))
+    known = durable(survey.where(F.col("rid").isNotNull()).select("rid", "spread").join(first, "rid"), "known")
 
-    left = shared.select("h", "s1", "n", "place").join(joined.select(F.col("node").alias("s1"), "root"), "s1", "left").withColumn("root", F.coalesce("root", "s1"))
-    mixed = left.groupBy("h").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("h")
-    left = durable(left.join(mixed, "h").dropDuplicates(["h", "s1"]), "left")
-    p, q = left.alias("p"), left.alias("q")
-    need = F.floor(((F.col("p.n") + F.col("q.n")) * F.lit(num) + F.lit(num + den - 1)) / F.lit(num + den))
+    sized = lambda p, q: F.least(p, q).cast("bigint") * den >= F.greatest(p, q).cast("bigint") * num
+    need = lambda p, q: F.floor(((p + q) * F.lit(num) + F.lit(num + den - 1)) / F.lit(num + den))
+    compared = links = joined = None
+    for turn in range(ROUNDS):
+        left = durable(_mixed(shared, joined), "left")
+        # one class of each column: at first the same one for columns with the same classes, then any
+        centre = F.min_by(F.struct("s1", "n", "place", "root"), F.xxhash64("s1", F.col("h") if turn else F.lit(0), F.lit(turn)))
+        with_centre = left.join(left.groupBy("h").agg(centre.alias("c")), "h").where(F.col("root") != F.col("c.root"))
+        room = F.least(F.col("n") - F.col("place"), F.col("c.n") - F.col("c.place"))
+        pairs = with_centre.where(sized(F.col("n"), F.col("c.n")) & (room >= need(F.col("n"), F.col("c.n")))).select(F.least("s1", "c.s1").alias("a"), F.greatest("s1", "c.s1").alias("b")).distinct()
+        pairs = durable(pairs if compared is None else pairs.join(compared, ["a", "b"], "left_anti"), "pairs")
+        tried = pairs.count()
+        if not tried:
+            break
+        found = _links(docs, known, pairs, words, threshold)
+        compared = pairs if compared is None else compared.unionByName(pairs)
+        links = found if links is None else links.unionByName(found)
+        fresh = found.count()
+        if fresh:
+            joined = durable(components(links), "joined")
+        if fresh < WORTHWHILE * tried:
+            break
+    left = durable(_mixed(shared, joined), "left")
+    sizes = left.groupBy("h").agg(F.count(F.lit(1)).alias("all"))
+    sparse = left.join(sizes.where(F.col("all") <= CROWDED), "h")
+    elsewhere = left.join(sizes.where(F.col("all") > CROWDED), "h").groupBy("s1").agg(F.count(F.lit(1)).alias("elsewhere"))
+    sparse = sparse.join(elsewhere, "s1", "left").withColumn("elsewhere", F.coalesce("elsewhere", F.lit(0)))
+    p, q = sparse.alias("p"), sparse.alias("q")
+    sizes_need = need(F.col("p.n"), F.col("q.n"))
     room = F.least(F.col("p.n") - F.col("p.place"), F.col("q.n") - F.col("q.place"))
     product = (
-        p.join(q, (F.col("p.h") == F.col("q.h")) & (F.col("p.root") != F.col("q.root")) & (F.col("p.s1") < F.col("q.s1")))
-        .where(sized(F.col("p.n"), F.col("q.n")) & (room >= need))
+        p.join(q, (F.col("p.h") == F.col("q.h")) & (F.col("p.root") != F.col("q.root")) & (F.col("p.s1") < F.col("q.s1")) & sized(F.col("p.n"), F.col("q.n")) & (room >= sizes_need))
         .groupBy(F.col("p.s1").alias("a"), F.col("q.s1").alias("b"))
-        .agg(F.count(F.lit(1)).alias("overlap"), F.min(room).alias("room"), F.first(need).alias("need"))
-        .where("overlap - 1 + room >= need")
+        .agg(F.count(F.lit(1)).alias("overlap"), F.min(room).alias("room"), F.max(sizes_need).alias("need"), F.max(F.least("p.elsewhere", "q.elsewhere")).alias("elsewhere"))
+        # what two classes share before their last common column here is counted, or lies in crowded columns
+        .where("overlap - 1 + room + elsewhere >= need")
         .select("a", "b")
     )
-    second = durable(product.join(first.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti"), "pairs")
-    if second.limit(1).count():
-        links = links.unionByName(durable(_links(docs, rows, second, words, threshold), "links"))
-        joined = durable(components(links), "joined")
+    pairs = product.unionByName(_crowded(left, known, threshold)).distinct()
+    pairs = durable(pairs if compared is None else pairs.join(compared, ["a", "b"], "left_anti"), "pairs")
+    if pairs.limit(1).count():
+        found = _links(docs, known, pairs, words, threshold)
+        joined = durable(components(found if links is None else links.unionByName(found)), "joined")
+    if joined is None:
+        joined = spark_empty(docs)
 
     placed = rows.join(joined.select(F.col("node").alias("s1"), "root"), "s1", "left").withColumn("root", F.coalesce("root", "s1"))
     placed = durable(placed, "placed")
@@ -210,6 +313,10 @@ def classes(docs: DataFrame, words: int = SHINGLE_WORDS, threshold: tuple[int, i
     )
 
 
+def spark_empty(docs: DataFrame) -> DataFrame:
+    return docs.sparkSession.createDataFrame([], "node long, root long")
+
+
 def dedup(docs: DataFrame, words: int = SHINGLE_WORDS, threshold: tuple[int, int] = THRESHOLD) -> DataFrame:
     """The rows of ``docs`` of which ``classes`` says that they stay: one of each component, with all columns."""
     gone = classes(docs, words, threshold).where("rid <> keep_rid").select(F.col("rid").alias("__near_rid"))
