@@ -27,7 +27,7 @@ THRESHOLD = (80, 100)
 #: Frequent shingles whose order is known: only the order, not the result, depends on them.
 FREQUENT = 65_536
 #: Hashes that a task counts at a time, and the count from which it reports a shingle.
-COUNTED, REPORTED = 2_000_000, 6
+COUNTED, REPORTED = 600_000, 4
 #: Bits of the filter that finds the documents of candidate pairs again; others that it lets through are dropped by a join.
 FILTER_BITS = 1 << 24
 
@@ -63,7 +63,7 @@ def _survey(docs: DataFrame, words: int) -> DataFrame:
             nulls = [pa.nulls(int(often.sum()), k) for k in kinds[:6]]
             return pa.RecordBatch.from_arrays([*nulls, pa.array(_as_long(found[often])), pa.array(counts[often].astype(np.int64))], names=names)
 
-        for batch in batches(rows):
+        for batch in batches(rows, 1024):
             out = []
             for rid, doc_id, hashes in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), shingles(utf8(batch.column(2)), words), strict=True):
                 spread = np.minimum(np.bincount((hashes >> np.uint64(56)).astype(np.int64), minlength=BUCKETS), SATURATED).astype(np.uint8)
