@@ -12,6 +12,7 @@ import os
 import random
 import re
 import zlib
+from array import array
 from bisect import bisect_left, insort
 from collections.abc import Iterator
 
@@ -22,6 +23,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import Memo, batches, durable, utf8
+from .units import byte_symbols
 
 CAPACITY = 4096
 END = 1
@@ -37,11 +39,30 @@ REJOINED = 64
 _ODD_SPACE = re.compile(rb"[\x1c-\x1f]|\xc2[\x85\xa0]|\xe1\x9a\x80|\xe2(?:\x80[\x80-\x8a\xa8\xa9\xaf]|\x81\x9f)|\xe3\x80\x80")
 
 
+#: Lower-case ASCII and Latin-1 letters in UTF-8.
+_PLAIN = re.compile(rb"(?:[a-z]|\xc3[\x9f-\xb6\xb8-\xbf])+\Z")
+_SYMBOLS = {b: symbol for symbol, b in byte_symbols().items()}
+_ODD_CONTROLS = b"\x1c\x1d\x1e\x1f"
+#: ASCII punctuation but for the apostrophe, which begins pieces of its own.
+_TAIL = bytes(c for c in range(33, 127) if not chr(c).isalnum() and chr(c) != "'")
+
+
+def _word_and_tail(chunk: bytes) -> tuple[bytes, ...]:
+    """A chunk cut before the punctuation at its end, where an ASCII or Latin-1 letter stands before: no piece reaches over."""
+    word = chunk.rstrip(_TAIL)
+    if len(word) == len(chunk) or not word:
+        return (chunk,)
+    last = word[-1]
+    letter = 97 <= last <= 122 or (last > 127 and len(word) > 1 and word[-2] == 0xC3 and last not in (0x97, 0xB7))
+    return (word, chunk[len(word) :]) if letter else (chunk,)
+
+
 class SpacelessEncoder:
-    """Ids by a ``tokenizers`` file that drops white space, special strings as the library handles them by default. What stands
-    between white space is encoded once and remembered."""
+    """Ids by a ``tokenizers`` file that lower-cases and drops white space, special strings as the library handles them by
+    default. What stands between white space is encoded once and remembered; of what isn't remembered, a word and the
+    punctuation behind it are encoded separately."""
 
-    def __init__(self, path: str, remember: int = 300_000) -> None:
+    def __init__(self, path: str, remember: int = 800_000) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -51,20 +72,35 @@ class SpacelessEncoder:
         self.special = [x.content.encode() for x in self.tokenizer.get_added_tokens_decoder().values()]
         self.chunks = Memo(remember)
 
+    def _by_library(self, chunks: list[bytes]) -> list[bytes]:
+        """A word of plain lower-case letters is given to the library's model itself, as its normaliser leaves it alone and its
+        splitter finds one piece; all else to the whole library."""
+        out: dict[bytes, bytes] = {}
+        tokenize = self.tokenizer.model.tokenize
+        for c in chunks:
+            if c.isalpha() or _PLAIN.match(c):  # isalpha is about ASCII here, and chunks are lower-cased
+                out[c] = array("I", [t.id for t in tokenize(c.decode("latin-1").translate(_SYMBOLS))]).tobytes()
+        rest = [c for c in chunks if c not in out]
+        coded = self.tokenizer.encode_batch_fast([c.decode("utf-8", "replace") for c in rest], add_special_tokens=False)
+        out.update(zip(rest, (array("I", e.ids).tobytes() for e in coded), strict=True))
+        return [out[c] for c in chunks]
+
     def _encode(self, chunks: list[bytes]) -> list[bytes]:
-        texts = [c.decode("utf-8", "replace") for c in chunks]
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
+        cut = [(c,) if b"<|" in c else _word_and_tail(c) for c in chunks]  # special strings are left whole
+        kept = self.chunks.kept
+        missing = list({part for parts in cut for part in parts if part not in kept})
+        new = dict(zip(missing, self._by_library(missing), strict=True))
+        return [b"".join([new[p] if p in new else kept[p] for p in parts]) for parts in cut]
 
     def _units(self, data: bytes) -> list[bytes]:
-        if _ODD_SPACE.search(data) or any(s in data for s in self.special):
+        odd = len(data) != len(data.translate(None, _ODD_CONTROLS)) if data.isascii() else _ODD_SPACE.search(data)
+        if odd or any(s in data for s in self.special):
             return [data]
-        return data.split()
+        return data.lower().split()
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
         """Ids of each text, as little-endian unsigned 32-bit integers."""
-        cut = [self._units(x) for x in texts]
-        known = self.chunks.resolve({u for units in cut for u in units}, self._encode)
-        return [b"".join([known[u] for u in units]) for units in cut]
+        return list(map(b"".join, self.chunks.each([self._units(x) for x in texts], self._encode)))
 
 
 _ENCODERS: dict[str, SpacelessEncoder] = {}
@@ -78,7 +114,7 @@ def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end: int = END)
             _ENCODERS[path] = SpacelessEncoder(path)
         encoder = _ENCODERS[path]
         last = np.array([end], "<u4").tobytes()
-        for batch in batches(rows, 1024):
+        for batch in batches(rows, 4096):
             out = []
             for rid, doc_id, ids in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), encoder.encode(utf8(batch.column(2))), strict=True):
                 ids += last
