@@ -143,7 +143,7 @@ def train(docs: DataFrame, per_language: int = PER_LANGUAGE, languages: int = LA
             yield pa.RecordBatch.from_arrays([pa.array([s[0] for s in some], pa.int64()), pa.array([s[1] for s in some], pa.string()), pa.array(shares, pa.binary())], names=["doc_id", "label", "x"])
 
     sample = sample_texts(docs, ids).select(F.col("doc_id").cast("bigint").alias("doc_id"), "label", "text")
-    given = sample.mapInArrow(run, "doc_id bigint, label string, x binary").toPandas().sort_values(["doc_id", "label"], kind="stable")
+    given = sample.mapInArrow(run, "doc_id bigint, label string, x binary").toArrow().to_pandas().sort_values(["doc_id", "label"], kind="stable")
     if given.empty:
         return Hierarchy()
     x = np.frombuffer(b"".join(given["x"]), np.uint8).reshape(-1, INPUTS).astype(np.float32) / 255

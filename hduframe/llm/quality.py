@@ -124,7 +124,7 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Bra
         for batch in rows:
             yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array([features(t) for t in strings(batch.column(0))], pa.list_(pa.float64()))], names=["doc_id", "label", "weight", "x"])
 
-    given = sample.select("text", "doc_id", "label", "weight").mapInArrow(run, "doc_id bigint, label int, weight double, x array<double>").toPandas().sort_values("doc_id", kind="stable")
+    given = sample.select("text", "doc_id", "label", "weight").mapInArrow(run, "doc_id bigint, label int, weight double, x array<double>").toArrow().to_pandas().sort_values("doc_id", kind="stable")
     model = BradleyTerry()
     x = np.array([list(r) for r in given["x"]]).reshape(-1, FEATURES)
     model.fit(x, given["label"].to_numpy(np.int64), given["weight"].to_numpy(np.float64))

@@ -10,12 +10,15 @@ PER_CLASS = 8000
 
 
 def sampled_ids(labelled: DataFrame, per_class: int = PER_CLASS) -> DataFrame:
-    """``labelled``: doc_id and label, a row per document. For each label, at most ``per_class`` rows, those with the least
-    hash of the id; with weight, the rows that one of them stands for. The limit is applied before the shuffle too."""
-    order = Window.partitionBy("label").orderBy(F.xxhash64(F.col("doc_id").cast("string")), "doc_id")
-    some = labelled.withColumn("place", F.row_number().over(order)).where(F.col("place") <= per_class).drop("place")
-    totals = labelled.groupBy("label").agg(F.count(F.lit(1)).alias("total"))
-    return some.join(F.broadcast(totals), "label").withColumn("weight", F.col("total") / F.least(F.col("total"), F.lit(per_class)))
+    """``labelled``: doc_id and label, a row per document, of few labels. For each label, at most ``per_class`` rows, those with the
+    least hash of the id; with weight, the rows that one of them stands for. Rows whose hash is too high to be among them go
+    before anything is brought together."""
+    totals = F.broadcast(labelled.groupBy("label").agg(F.count(F.lit(1)).alias("total")))
+    place = F.pmod(F.xxhash64(F.col("doc_id").cast("string")), F.lit(1 << 40))
+    low = labelled.join(totals, "label").withColumn("place", place).where(F.col("place") * F.col("total") <= F.lit(1.3 * per_class + 100) * (1 << 40))
+    order = Window.partitionBy("label").orderBy("place", "doc_id")
+    some = low.withColumn("number", F.row_number().over(order)).where(F.col("number") <= per_class)
+    return some.withColumn("weight", F.col("total") / F.least(F.col("total"), F.lit(per_class))).drop("place", "number", "total")
 
 
 def clean_labels(labels: DataFrame, column: str) -> DataFrame:

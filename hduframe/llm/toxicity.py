@@ -147,7 +147,7 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, select
             found = [empty.inputs(t) for t in strings(batch.column(0))]
             yield pa.RecordBatch.from_arrays([batch.column(1), batch.column(2), batch.column(3), pa.array(found, pa.list_(pa.int64()))], names=["doc_id", "label", "weight", "inputs"])
 
-    given = sample.select("text", "doc_id", "label", "weight").mapInArrow(reduce, "doc_id bigint, label int, weight double, inputs array<bigint>").toPandas().sort_values("doc_id", kind="stable")
+    given = sample.select("text", "doc_id", "label", "weight").mapInArrow(reduce, "doc_id bigint, label int, weight double, inputs array<bigint>").toArrow().to_pandas().sort_values("doc_id", kind="stable")
     machine = FactorizationMachine(len(chosen))
     if len(chosen):
         machine.fit([np.asarray(x, np.int64) for x in given["inputs"]], given["label"].to_numpy(np.float64), given["weight"].to_numpy(np.float64))
