@@ -223,6 +223,14 @@ def _crowded(left: DataFrame, known: DataFrame, threshold: tuple[int, int]) -> D
     return first.unionByName(second).groupBy("h", "x", "y").applyInArrow(multiply, "a bigint, b bigint").distinct()
 
 
+def _merged(shared: DataFrame) -> DataFrame:
+    """Columns with the same classes as one: rows (h, s1, n, place, k), with the place of the first of them and their number. Copies of a passage share long runs of shingles, so this takes most columns away. Columns are told apart by 64
+    bits; two that were mixed up would only give more candidates."""
+    alike = shared.groupBy("h").agg(F.bit_xor(F.xxhash64("s1")).alias("x"), F.count(F.lit(1)).alias("m"))
+    renamed = shared.join(alike, "h").select(F.xxhash64("x", "m").alias("h"), "s1", "n", "place")
+    return durable(renamed.groupBy("h", "s1").agg(F.max("n").alias("n"), F.min("place").alias("place"), F.count(F.lit(1)).alias("k")), "merged")
+
+
 def _mixed(shared: DataFrame, joined: DataFrame | None) -> DataFrame:
     """Of the incidence, the columns that hold classes of different components, with each class's root."""
     left = shared.withColumn("root", F.col("s1"))
@@ -252,7 +260,7 @@ def classes(docs: DataFrame, words: int = SHINGLE_WORDS, threshold: tuple[int, i
 
     column = Window.partitionBy("h").orderBy("s1")
     incidence = _prefixes(docs, words, frequent[by_hash], rank, threshold).select("*", F.first("s1").over(column).alias("c"), F.lead("s1").over(column).alias("after"))
-    shared = durable(incidence.where("s1 <> c OR after <> s1").select("h", "s1", "n", "place"), "incidence").dropDuplicates(["h", "s1"])
+    shared = _merged(durable(incidence.where("s1 <> c OR after <> s1").select("h", "s1", "n", "place"), "incidence").dropDuplicates(["h", "s1"]))
     first = rows.groupBy("s1").agg(F.min("rid").alias("rid"))
     known = durable(survey.where(F.col("rid").isNotNull()).select("rid", "spread").join(first, "rid"), "known")
 
@@ -281,7 +289,7 @@ def classes(docs: DataFrame, words: int = SHINGLE_WORDS, threshold: tuple[int, i
     left = durable(_mixed(shared, joined), "left")
     sizes = left.groupBy("h").agg(F.count(F.lit(1)).alias("all"))
     sparse = left.join(sizes.where(F.col("all") <= CROWDED), "h")
-    elsewhere = left.join(sizes.where(F.col("all") > CROWDED), "h").groupBy("s1").agg(F.count(F.lit(1)).alias("elsewhere"))
+    elsewhere = left.join(sizes.where(F.col("all") > CROWDED), "h").groupBy("s1").agg(F.sum("k").alias("elsewhere"))
     sparse = sparse.join(elsewhere, "s1", "left").withColumn("elsewhere", F.coalesce("elsewhere", F.lit(0)))
     p, q = sparse.alias("p"), sparse.alias("q")
     sizes_need = need(F.col("p.n"), F.col("q.n"))
@@ -289,8 +297,9 @@ def classes(docs: DataFrame, words: int = SHINGLE_WORDS, threshold: tuple[int, i
     product = (
         p.join(q, (F.col("p.h") == F.col("q.h")) & (F.col("p.root") != F.col("q.root")) & (F.col("p.s1") < F.col("q.s1")) & sized(F.col("p.n"), F.col("q.n")) & (room >= sizes_need))
         .groupBy(F.col("p.s1").alias("a"), F.col("q.s1").alias("b"))
-        .agg(F.count(F.lit(1)).alias("overlap"), F.min(room).alias("room"), F.max(sizes_need).alias("need"), F.max(F.least("p.elsewhere", "q.elsewhere")).alias("elsewhere"))
-        # what two classes share before their last common column here is counted, or lies in crowded columns
+        .agg(F.sum(F.least("p.k", "q.k")).alias("overlap"), F.min(room).alias("room"), F.max(sizes_need).alias("need"), F.max(F.least("p.elsewhere", "q.elsewhere")).alias("elsewhere"))
+        # up to the last of these columns' first places, what two classes share is counted here or lies in crowded columns; from
+        # there on, they share at most what is left
         .where("overlap - 1 + room + elsewhere >= need")
         .select("a", "b")
     )
