@@ -36,8 +36,9 @@ FILTER_BITS = 1 << 24
 BUCKETS, SATURATED = 256, 255
 #: Rounds against one class of each column go on while at least this share of the pairs compared are links.
 WORTHWHILE, ROUNDS = 0.05, 3
-#: Classes of a column from which its product is taken in blocks of about this many classes.
-CROWDED, BLOCK = 64, 512
+#: Classes of a column from which its product is taken in blocks, of about BLOCK classes: above this many, rows of pairs weigh more
+#: than rows of classes with their counts.
+CROWDED, BLOCK = 16, 512
 
 
 def _as_long(hashes: np.ndarray) -> np.ndarray:
