@@ -62,7 +62,7 @@ class SpacelessEncoder:
     default. What stands between white space is encoded once and remembered; of what isn't remembered, a word and the
     punctuation behind it are encoded separately."""
 
-    def __init__(self, path: str, remember: int = 800_000) -> None:
+    def __init__(self, path: str, remember: int = 250_000) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
