@@ -5,7 +5,11 @@ from __future__ import annotations
 import json
 import os
 import re
+import shutil
+import uuid
+from array import array
 from collections.abc import Iterator, Sequence
+from typing import BinaryIO
 
 import numpy as np
 import pyarrow as pa
@@ -13,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources import images, layout
-from ..sources.header import HDU, Header, check_name, find, index
+from ..sources.header import BLOCK, HDU, Header, check_name, find, index
 from .table import register
 
 _SECTION = re.compile(r"(.*?)(?:\[([^\[\]:,]+)\])?(?:\[([\d:,\s]+)\])\Z")
@@ -169,6 +173,49 @@ def write_image(path: str, pixels: np.ndarray, header: Header | dict | None = No
     layout.write_units(path, units, overwrite)
 
 
+def write_lines(path: str, lines: DataFrame, dtype: str, compress: bool | str = False, overwrite: bool = False) -> None:
+    """An image of two axes from rows (y, pixels), y from 0 without gaps, all lines of one width. Tasks encode them in the order of
+    y; the driver appends what comes to a file beside the target, and holds one partition of it and the size of each line."""
+    path, kind, stored = check_name(path.removeprefix("!")), "", np.dtype(dtype)
+    if os.path.exists(path) and not overwrite:
+        raise FileExistsError(path)
+    if compress:
+        kind = images.CODECS["RICE" if compress is True else compress.upper()]
+        if (stored.kind == "f" and not kind.startswith("GZIP")) or (stored.itemsize == 8 and kind == "RICE_1"):
+            kind = "GZIP_2"
+
+    def encode(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in rows:
+            pixels = [np.asarray(x.values.to_numpy(zero_copy_only=False), stored) for x in batch.column(1)]
+            data = [images.pack(x[None, :], kind) if kind else layout.image_bytes(x) for x in pixels]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(list(map(len, pixels)), pa.int32()), pa.array(data, pa.binary())], names=["y", "n", "data"])
+
+    part, width, sizes = f"{path}.{uuid.uuid4().hex}", 0, array("q")
+    try:
+        with open(part, "wb") as out:
+            for r in lines.select(F.col("y").cast("long"), "pixels").orderBy("y").mapInArrow(encode, "y bigint, n int, data binary").toLocalIterator():
+                if r.y != len(sizes) or r.n != (width or r.n):
+                    raise ValueError(f"line {r.y} of {r.n} pixels where line {len(sizes)} of {width or r.n} should be")
+                width = r.n
+                sizes.append(out.write(r.data))
+        shape, packed = (len(sizes), width), np.array(sizes, np.int64)
+
+        def write(file: BinaryIO) -> None:
+            if kind:
+                head, rows = images.compressed_head(kind, stored, shape, (1, width), packed)
+                file.write(layout.primary_header().to_bytes() + head + rows)
+            else:
+                rows = b""
+                file.write(layout.image_header(shape, stored.name, True).to_bytes())
+            with open(part, "rb") as data:
+                shutil.copyfileobj(data, file)
+            file.write(bytes(-(len(rows) + int(packed.sum())) % BLOCK))
+
+        layout.replace_file(path, write)
+    finally:
+        os.remove(part)
+
+
 def write_units(path: str, payloads: Sequence, overwrite: bool = False) -> None:
     """A file of several units: arrays, Arrow tables or dictionaries of columns; a primary unit is put first if needed."""
     from .mutate import _unit_bytes

@@ -11,7 +11,6 @@ import tempfile
 import uuid
 from collections.abc import Callable, Sequence
 
-import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -467,32 +466,75 @@ def _sql_on_fits(spark: SparkSession, d: str) -> DataFrame:
 _GRID = "SELECT (p_partkey // 40)::BIGINT AS y, (p_partkey % 40)::BIGINT AS x, p_size::DOUBLE AS value FROM part WHERE p_partkey < 1600"
 
 
+#: All of part in lines of 40, the last one padded with 0.
+_WHOLE = "SELECT k // 40 AS y, k % 40 AS x, coalesce(p_size, 0)::DOUBLE AS value FROM (SELECT unnest(range((SELECT (max(p_partkey) // 40 + 1) * 40 FROM part))) AS k) LEFT JOIN part ON p_partkey = k"
+_PIXELS = "SELECT unnest(embedding)::DOUBLE AS value FROM embeddings"
+
+
 def _image_file(spark: SparkSession, d: str, compress: bool | str = False) -> str:
-    """Sizes of the first parts as an image of 40 columns."""
+    """Sizes of all parts as an image of 40 columns, encoded in tasks; pixels without a part are 0."""
+    path, part = _scratch(spark), _t(spark, d, "part")
+    top = part.agg(F.max("p_partkey")).first()[0]
+    found = part.groupBy(F.expr("p_partkey div 40").alias("y")).agg(F.map_from_entries(F.collect_list(F.struct((F.col("p_partkey") % 40).cast("int"), "p_size"))).alias("at"))
+    pixels = F.transform(F.sequence(F.lit(0), F.lit(39)), lambda x: F.coalesce(F.element_at("at", x), F.lit(0)))
+    lines = spark.range(0 if top is None else top // 40 + 1).withColumnRenamed("id", "y").join(found, "y", "left").select("y", pixels.cast("array<int>").alias("pixels"))
+    arrays.write_lines(path, lines, "int32", compress)
+    return path
+
+
+def _vector_file(spark: SparkSession, d: str, compress: bool | str = False) -> str:
+    """All embeddings as an image, a line each in the order of their numbers, which have no gaps."""
     path = _scratch(spark)
-    rows = _t(spark, d, "part").where("p_partkey < 1600").select("p_partkey", "p_size").collect()
-    pixels = np.zeros(1600, np.int32)
-    for r in rows:
-        pixels[r.p_partkey] = r.p_size
-    arrays.write_image(path, pixels[: len(rows) // 40 * 40].reshape(-1, 40), compress=compress)
+    arrays.write_lines(path, _t(spark, d, "embeddings").select(F.col("vec_id").alias("y"), F.col("embedding").alias("pixels")), "float32", compress)
     return path
 
 
+def _oracle_lines(spark: SparkSession, d: str, tiles: DataFrame) -> DataFrame:
+    """Of tiles of the whole image, the pixels that the SQL over ``_GRID`` covers: full lines among the first 40."""
+    top, lines = F.col("origin")[0], min(_t(spark, d, "part").count(), 1600) // 40
+    return tiles.where(top < lines).withColumn("pixels", F.slice("pixels", 1, ((lines - top) * 40).cast("int")))
+
+
 @_add("image_cutout_sum", f"SELECT count(*) AS n, sum(value) AS s FROM ({_GRID}) WHERE x >= 3 AND x < 20 AND y >= 1 AND y < 5")
 def _cutout_sum(spark: SparkSession, d: str) -> DataFrame:
     boxes = spark.createDataFrame([(1, 3, 1, 20, 5)], "id int, x1 long, y1 long, x2 long, y2 long")
     return arrays.cutouts(arrays.tiles(spark, _image_file(spark, d)), boxes).agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("s"))
 
 
-@_add("image_stats", f"SELECT count(*) AS pixels, 0::BIGINT AS nans, min(value) AS low, max(value) AS high, round(avg(value), 6) AS mean, round(stddev_pop(value), 6) AS sd FROM ({_GRID}) WHERE y < (SELECT least(count(*), 1600) // 40 FROM part)")
+def _moments(tiles: DataFrame) -> DataFrame:
+    return arrays.stats(tiles).select("pixels", "nans", F.col("min").alias("low"), F.col("max").alias("high"), F.round("mean", 6).alias("mean"), F.round("stddev", 6).alias("sd"))
+
+
+_MOMENTS = "SELECT count(*) AS pixels, 0::BIGINT AS nans, min(value) AS low, max(value) AS high, round(avg(value), 6) AS mean, round(stddev_pop(value), 6) AS sd"
+
+
+@_add("image_stats", f"{_MOMENTS} FROM ({_GRID}) WHERE y < (SELECT least(count(*), 1600) // 40 FROM part)")
 def _image_stats(spark: SparkSession, d: str) -> DataFrame:
-    s = arrays.stats(arrays.tiles(spark, _image_file(spark, d)))
-    return s.select("pixels", "nans", F.col("min").alias("low"), F.col("max").alias("high"), F.round("mean", 6).alias("mean"), F.round("stddev", 6).alias("sd"))
+    return _moments(_oracle_lines(spark, d, arrays.tiles(spark, _image_file(spark, d))))
 
 
 for _codec in ("rice", "gzip", "gzip_2", "plio"):
-    QUERIES[f"image_{_codec}"] = lambda spark, d, codec=_codec: arrays.stats(arrays.tiles(spark, _image_file(spark, d, codec))).select("pixels", F.col("min").alias("low"), F.col("max").alias("high"), F.round("mean", 6).alias("mean"))
+    QUERIES[f"image_{_codec}"] = lambda spark, d, codec=_codec: _moments(_oracle_lines(spark, d, arrays.tiles(spark, _image_file(spark, d, codec)))).select("pixels", "low", "high", "mean")
     ORACLE_SQL[f"image_{_codec}"] = f"SELECT count(*) AS pixels, min(value) AS low, max(value) AS high, round(avg(value), 6) AS mean FROM ({_GRID}) WHERE y < (SELECT least(count(*), 1600) // 40 FROM part)"
+    QUERIES[f"image_whole_{_codec}"] = lambda spark, d, codec=_codec: _moments(arrays.tiles(spark, _image_file(spark, d, codec)))
+    ORACLE_SQL[f"image_whole_{_codec}"] = f"{_MOMENTS} FROM ({_WHOLE})"
+
+
+@_add("image_whole_cutout_sum", f"SELECT count(*) AS n, sum(value) AS s FROM ({_WHOLE}) WHERE x >= 3 AND x < 20 AND y >= 1")
+def _whole_cutout_sum(spark: SparkSession, d: str) -> DataFrame:
+    """A box from the second line to beyond the last."""
+    boxes = spark.createDataFrame([(1, 3, 1, 20)], "id int, x1 long, y1 long, x2 long").crossJoin(_t(spark, d, "part").agg((F.max("p_partkey") + 1).alias("y2")))
+    return arrays.cutouts(arrays.tiles(spark, _image_file(spark, d)), boxes).agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("s"))
+
+
+@_add("image_whole_stats", f"{_MOMENTS} FROM ({_WHOLE})")
+def _whole_stats(spark: SparkSession, d: str) -> DataFrame:
+    return _moments(arrays.tiles(spark, _image_file(spark, d)))
+
+
+for _codec in (False, "gzip", "gzip_2"):
+    QUERIES[f"image_vectors_{_codec or 'stats'}"] = lambda spark, d, codec=_codec: _moments(arrays.tiles(spark, _vector_file(spark, d, codec)))
+    ORACLE_SQL[f"image_vectors_{_codec or 'stats'}"] = f"{_MOMENTS} FROM ({_PIXELS})"
 
 
 @_add("catalog", "SELECT * FROM (VALUES (0, 'IMAGE', NULL::BIGINT), (1, 'BINTABLE', (SELECT count(*) FROM nation))) AS v(hdu, type, \"rows\")")

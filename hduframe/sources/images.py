@@ -177,23 +177,35 @@ def compressed_unit(pixels: np.ndarray, codec: str, extname: str | None = None,
     packed = []
     for place in np.ndindex(*grid):
         part = np.ascontiguousarray(flat[tuple(slice(p * t, (p + 1) * t) for p, t in zip(place, tile, strict=True))])
-        packed.append(codecs.rice_encode(part) if kind == "RICE_1" else codecs.plio_encode(part) if kind == "PLIO_1" else codecs.gzipped(part.reshape(-1), kind == "GZIP_2"))
+        packed.append(pack(part, kind))
     sizes = np.array([len(p) for p in packed], np.int64)
+    head, rows = compressed_head(kind, flat.dtype, flat.shape, tile, sizes, shift, extname, header)
+    return head + padded(rows + b"".join(packed))
+
+
+def pack(part: np.ndarray, kind: str) -> bytes:
+    """A tile of stored pixels, compressed."""
+    return codecs.rice_encode(part) if kind == "RICE_1" else codecs.plio_encode(part) if kind == "PLIO_1" else codecs.gzipped(part.reshape(-1), kind == "GZIP_2")
+
+
+def compressed_head(kind: str, dtype: np.dtype, shape: tuple[int, ...], tile: tuple[int, ...], sizes: np.ndarray, shift: int = 0, extname: str | None = None, header: Header | dict | None = None) -> tuple[bytes, bytes]:
+    """The header of a table of compressed tiles, and its rows; ``sizes`` has the bytes of each tile in the heap that follows."""
     unit = "I" if kind == "PLIO_1" else "B"
     counts = sizes // 2 if unit == "I" else sizes
-    rows = np.stack([counts, np.cumsum(sizes) - sizes], axis=1).astype(">i4").tobytes()
-    n = flat.ndim
-    cards = [Card("XTENSION", "BINTABLE"), Card("BITPIX", 8), Card("NAXIS", 2), Card("NAXIS1", 8), Card("NAXIS2", len(packed)), Card("PCOUNT", int(sizes.sum())), Card("GCOUNT", 1), Card("TFIELDS", 1)]
-    cards += [Card("TTYPE1", "COMPRESSED_DATA"), Card("TFORM1", f"1P{unit}({int(counts.max()) if len(counts) else 0})"), Card("ZIMAGE", True), Card("ZCMPTYPE", kind), Card("ZBITPIX", BITPIX[flat.dtype.name]), Card("ZNAXIS", n)]
-    cards += [Card(f"ZNAXIS{k}", int(flat.shape[n - k])) for k in range(1, n + 1)] + [Card(f"ZTILE{k}", int(tile[n - k])) for k in range(1, n + 1)]
+    wide = int(sizes.sum()) >= 1 << 31
+    rows = np.stack([counts, np.cumsum(sizes) - sizes], axis=1).astype(">i8" if wide else ">i4").tobytes()
+    n = len(shape)
+    cards = [Card("XTENSION", "BINTABLE"), Card("BITPIX", 8), Card("NAXIS", 2), Card("NAXIS1", 16 if wide else 8), Card("NAXIS2", len(sizes)), Card("PCOUNT", int(sizes.sum())), Card("GCOUNT", 1), Card("TFIELDS", 1)]
+    cards += [Card("TTYPE1", "COMPRESSED_DATA"), Card("TFORM1", f"1{'Q' if wide else 'P'}{unit}({int(counts.max()) if len(counts) else 0})"), Card("ZIMAGE", True), Card("ZCMPTYPE", kind), Card("ZBITPIX", BITPIX[dtype.name]), Card("ZNAXIS", n)]
+    cards += [Card(f"ZNAXIS{k}", int(shape[n - k])) for k in range(1, n + 1)] + [Card(f"ZTILE{k}", int(tile[n - k])) for k in range(1, n + 1)]
     if kind == "RICE_1":
-        cards += [Card("ZNAME1", "BLOCKSIZE"), Card("ZVAL1", 32), Card("ZNAME2", "BYTEPIX"), Card("ZVAL2", flat.dtype.itemsize)]
+        cards += [Card("ZNAME1", "BLOCKSIZE"), Card("ZVAL1", 32), Card("ZNAME2", "BYTEPIX"), Card("ZVAL2", dtype.itemsize)]
     if shift:
         cards += [Card("BSCALE", 1), Card("BZERO", shift)]
     if extname:
         cards.append(Card("EXTNAME", extname))
     more = [c for c in user_cards(header) if c.key.upper() not in ("BSCALE", "BZERO", "EXTNAME")]
-    return Header(cards + more).to_bytes() + padded(rows + b"".join(packed))
+    return Header(cards + more).to_bytes(), rows
 
 
 def to_arrow(pixels: np.ndarray) -> pa.Array:

@@ -229,6 +229,30 @@ def test_cutouts(spark, tmp_path):
     assert arrays.tiles(spark, [path, path + ".none"], strict=False).count() == tiles.count()
 
 
+@pytest.mark.parametrize("compress", [False, "rice", "gzip", "gzip_2", "plio"])
+def test_lines(spark, tmp_path, compress):
+    pixels = np.random.default_rng(2).integers(0, 900, (57, 40)).astype(np.int32)
+    rows = spark.createDataFrame([(y, x.tolist()) for y, x in enumerate(pixels)], "y long, pixels array<int>").repartition(5)
+    path, whole = str(tmp_path / "l.fits"), str(tmp_path / "w.fits")
+    arrays.write_lines(path, rows, "int32", compress)
+    arrays.write_image(whole, pixels, compress=compress)
+    assert open(path, "rb").read() == open(whole, "rb").read() and np.array_equal(arrays.read_image(path), pixels)
+    with pytest.raises(ValueError):
+        arrays.write_lines(path, rows.where("y <> 9"), "int32", compress, overwrite=True)
+    assert sorted(os.listdir(tmp_path)) == ["l.fits", "w.fits"]
+
+
+@pytest.mark.parametrize("name", ["image_cutout_sum", "image_stats", "image_rice", "image_gzip", "image_gzip_2", "image_plio", "image_whole_stats"])
+def test_catalogue_images_hold_all_parts(spark, tmp_path, monkeypatch, name):
+    from hduframe.plans import catalogue
+
+    sizes = np.random.default_rng(3).integers(1, 50, 2010).astype(np.int32)  # more than 1,600, the last line not full
+    spark.createDataFrame([(k, int(x)) for k, x in enumerate(sizes)], "p_partkey long, p_size int").write.parquet(str(tmp_path / "part.parquet"))
+    monkeypatch.setattr(catalogue, "_scratch", lambda _: str(tmp_path / "i.fits"))
+    catalogue.QUERIES[name](spark, str(tmp_path)).collect()
+    assert np.array_equal(arrays.read_image(str(tmp_path / "i.fits")).reshape(-1), np.append(sizes, np.zeros(30, np.int32)))
+
+
 def test_scaled_image_and_gzip(tmp_path):
     path = tmp_path / "s.fits"
     head = layout.image_header((2, 2), "int16", True, scale=0.5, zero=10)
