@@ -15,7 +15,7 @@ def sampled_ids(labelled: DataFrame, per_class: int = PER_CLASS) -> DataFrame:
     before anything is brought together."""
     totals = F.broadcast(labelled.groupBy("label").agg(F.count(F.lit(1)).alias("total")))
     place = F.pmod(F.xxhash64(F.col("doc_id").cast("string")), F.lit(1 << 40))
-    low = labelled.join(totals, "label").withColumn("place", place).where(F.col("place") * F.col("total") <= F.lit(1.3 * per_class + 100) * (1 << 40))
+    low = labelled.join(totals, "label").withColumn("place", place).where(F.col("place").cast("double") * F.col("total") <= F.lit(1.3 * per_class + 100) * (1 << 40))
     order = Window.partitionBy("label").orderBy("place", "doc_id")
     some = low.withColumn("number", F.row_number().over(order)).where(F.col("number") <= per_class)
     return some.withColumn("weight", F.col("total") / F.least(F.col("total"), F.lit(per_class))).drop("place", "number", "total")

@@ -21,7 +21,7 @@ from tokenizers import Tokenizer
 sys.path.insert(0, str(Path(__file__).parent))
 from helpers import LABELS, clashing, corpus, frame, odd_documents, shingle_set, words_of
 
-from hduframe.llm import brown_lm, byte_bpe, components, exact_dedup, fingerprints, jaccard_join, language_id, packing, quality, token_counts, toxicity
+from hduframe.llm import brown_lm, byte_bpe, components, exact_dedup, fingerprints, jaccard_join, language_id, packing, quality, sampling, token_counts, toxicity
 from hduframe.llm.common import shingles
 
 JSON, WORD_JSON, RANKS = (public_tokenizers.path(n) for n in ("byte_bpe_50k.json", "word_bpe_49k.json", "byte_bpe_50k.tiktoken"))
@@ -376,6 +376,12 @@ def test_factorization_machine_learns_pairs():
     assert np.mean([(machine.score(r) > 0.5) == y for r, y in zip(rows, labels, strict=True)]) > 0.98
 
 
+def test_sample_of_a_label_with_millions_of_rows(spark):
+    rows = spark.range(8_500_000).select(F.col("id").alias("doc_id"), F.lit("en").alias("label"))  # times 2^40, more than a bigint holds
+    got = sampling.sampled_ids(rows, 5).collect()
+    assert len({r.doc_id for r in got}) == 5 and {r.weight for r in got} == {1_700_000}
+
+
 def test_language(spark, labelled):
     docs = labelled[0]
     model = language_id.train(docs)
