@@ -1,10 +1,12 @@
 """Scoring by a class-based bigram model with Brown's exchange clustering.
 
 Items are the most frequent words, the endings of other words, and one item for the rest. Exchange clustering moves one item at a
-time to the class where the likelihood of the item bigrams is highest. A token's chance given the token before is that of its
-class given the class before, times that of the item in its class, times that of the word within its item. All counts are taken
-over all training documents; only counts of frequent words, bounded in number, go to every task, and those of all others reach
-the documents by a shuffle join.
+time to the class where the likelihood of the item bigrams is highest. Each other word that was seen often enough then gets the
+class that suits its own counts of classes before and after it; only words hardly or never seen share their ending's class. A
+token's chance given the token before is that of its class given the class before, times that of the word in its class or, for
+rare words, of the item in its class and of the word within its item. All counts are taken over all training documents; only
+counts and classes of frequent words, bounded in number, go to every task, and those of all others reach the documents by a
+shuffle join.
 """
 
 from __future__ import annotations
@@ -12,6 +14,7 @@ from __future__ import annotations
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -23,10 +26,13 @@ from .common import batches, durable, held_out, utf8
 #: Words that are items of their own; endings that are; bytes of an ending; words whose counts go to every task.
 WORDS, ENDINGS, ENDING_BYTES, KNOWN = 1000, 600, 4, 200_000
 CLASSES, SWEEPS = 64, 6
+#: Words that occur as often as this get a class of their own counts.
+LEAST = 5
 #: Added to counts of words, as in the base; weight of the classes' own shares in their transitions.
 ADDED, BACKED_OFF = 0.1, 5.0
-#: Distinct words after which a task passes on its counts.
-HELD = 300_000
+#: Distinct words after which a task passes on its counts; neighbours of known words, and of others, after which it does; parts of
+#: the known words' table.
+HELD, HELD_CODES, HELD_FAR, BUCKETS = 300_000, 1_000_000, 100_000, 1024
 
 
 def tokens(data: bytes) -> list[bytes]:
@@ -79,13 +85,13 @@ class Items:
     def read(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """For each word, its place among the known ones (-1: not there) and its item."""
         get = self.number.get
-        places = np.fromiter((get(w, -1) for w in words), np.int64, len(words))
+        places = np.fromiter(map(get, words, repeat(-1)), np.int64, len(words))
         items = np.full(len(words), self.rest, np.int64)
         found = places >= 0
         items[found] = self.of_known[places[found]]
         ending, rest = self.of_ending.get, self.rest
-        for k in np.flatnonzero(~found).tolist():
-            items[k] = ending(words[k][-ENDING_BYTES:], rest)
+        others = np.flatnonzero(~found)
+        items[others] = [ending(words[k][-ENDING_BYTES:], rest) for k in others.tolist()]
         return places, items
 
 
@@ -159,23 +165,286 @@ def exchange_clusters(counts: np.ndarray, classes: int, sweeps: int, fixed: int)
 
 @dataclass
 class BrownModel:
-    """What tasks need to score texts, but for the counts of words that aren't known to them."""
+    """What tasks need to score texts, but for the counts and classes of words that aren't known to them."""
 
     items: Items
     transition: np.ndarray  # log10 chance of a class after a class
     classes: np.ndarray  # of items
     emission: np.ndarray  # log10 chance of an item in its class, and of a word without its own count in the item
+    of_place: np.ndarray  # class of each known word that has its own; -1: that of its item
+    within: np.ndarray  # log10 of what a class's chances are shares of
+    far: bool  # words that aren't known have classes of their own
     end_count: int
     train_tokens: int
     vocabulary: int
 
 
+def _count_neighbours(docs: DataFrame, items: Items, classes: np.ndarray, far: bool) -> DataFrame:
+    """How often classes stand before and after words that aren't items. For known words, rows (bucket, codes, ns), where code is
+    (place * 2 + side) * number of classes + class; for others, if ``far``, rows (word, before, after, n)."""
+    size = int(classes.max()) + 1
+    own = int((items.counts >= LEAST).sum())  # counts fall
+    names = ["bucket", "codes", "ns", "word", "before", "after", "n"]
+    kinds = [pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.int32(), pa.int32(), pa.int64()]
+    row = lambda *columns: pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=names)
+
+    def of_known(held: list[np.ndarray]) -> pa.RecordBatch:
+        codes, n = np.unique(np.concatenate(held), return_counts=True)
+        bucket = codes // (2 * size) % BUCKETS
+        order = np.argsort(bucket, kind="stable")
+        codes, n, bucket = codes[order], n[order], bucket[order]
+        found, at = np.unique(bucket, return_index=True)
+        cut = lambda x: [part.astype(np.int32).tobytes() for part in np.split(x, at[1:])]
+        none = [None] * len(found)
+        return row(found, cut(codes), cut(n), none, none, none, none)
+
+    def of_far(held: Counter) -> pa.RecordBatch:
+        none = [None] * len(held)
+        words, before, after = zip(*held, strict=True)
+        return row(none, none, none, words, before, after, list(held.values()))
+
+    def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, held_codes, others = [], 0, Counter()
+        for batch in batches(rows, 512):
+            texts = [tokens(x) for x in utf8(batch.column(0))]
+            flat = [w for words in texts for w in words]
+            places, numbers = items.read(flat)
+            sizes = np.array([len(t) for t in texts], np.int64)
+            ends = np.insert(np.cumsum(sizes), 0, 0)
+            around = np.insert(classes[numbers], ends, classes[items.end])
+            at = np.arange(len(flat)) + np.repeat(np.arange(len(texts)), sizes) + 1
+            before, after = around[at - 1], around[at + 1]
+            some = np.flatnonzero((places >= items.words) & (places < own))
+            if len(some):
+                base = (places[some] * 2 * size).astype(np.int32)
+                held += [base + before[some].astype(np.int32), base + (size + after[some]).astype(np.int32)]
+                held_codes += 2 * len(some)
+            if far:
+                some = np.flatnonzero(places < 0).tolist()
+                others.update(zip([flat[k] for k in some], before[some].tolist(), after[some].tolist(), strict=True))
+            if held_codes > HELD_CODES:
+                yield of_known(held)
+                held, held_codes = [], 0
+            if len(others) > HELD_FAR:
+                yield of_far(others)
+                others.clear()
+        if held:
+            yield of_known(held)
+        if others:
+            yield of_far(others)
+
+    schema = "bucket int, codes binary, ns binary, word binary, before int, after int, n bigint"
+    return docs.where(~held_out(10)).select("text").mapInArrow(run, schema)
+
+
+def _best_classes(neighbours: np.ndarray, transition: np.ndarray, within: np.ndarray) -> np.ndarray:
+    """For each word the class that makes what stands around it most likely; a row has its counts of classes before, then after.
+    Class 0 is the end's alone."""
+    size = len(transition)
+    score = neighbours @ np.concatenate([transition, transition.T]) - neighbours[:, :size].sum(axis=1, keepdims=True) * within
+    score[:, 0] = -np.inf
+    return score.argmax(axis=1)
+
+
+def _assign(docs: DataFrame, items: Items, classes: np.ndarray, transition: np.ndarray, within: np.ndarray, far: bool) -> tuple[np.ndarray, DataFrame | None]:
+    """Classes of known words, -1 where a word is an item or rare, and the table (word, class) of the others; none unless ``far``."""
+    size = len(transition)
+
+    def known(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table, now = np.zeros((len(items.known) // BUCKETS + 1) * 2 * size), None
+
+        def full() -> pa.RecordBatch:
+            lines = table.reshape(-1, 2 * size)
+            seen = np.flatnonzero(lines.any(axis=1))
+            return pa.RecordBatch.from_arrays([pa.array(seen * BUCKETS + now, pa.int64()), pa.array(_best_classes(lines[seen], transition, within), pa.int32())], names=["place", "class"])
+
+        for batch in rows:  # in the order of buckets
+            for bucket, codes, n in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
+                if now is not None and bucket != now:
+                    yield full()
+                    table[:] = 0
+                now = bucket
+                codes = np.frombuffer(codes, np.int32)
+                table[codes // (2 * size) // BUCKETS * 2 * size + codes % (2 * size)] += np.frombuffer(n, np.int32)
+        if now is not None:
+            yield full()
+
+    def others(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches(rows, 8192):
+            lists = batch.column(1)
+            each = np.repeat(np.arange(batch.num_rows), np.asarray(lists.value_lengths()))
+            around = lists.flatten()
+            before, after, n = (np.asarray(around.field(k)) for k in range(3))
+            table = np.zeros((batch.num_rows, 2 * size))
+            np.add.at(table, (each, before), n)
+            np.add.at(table, (each, size + after), n)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(_best_classes(table, transition, within), pa.int32())], names=["word", "class"])
+
+    counted = durable(_count_neighbours(docs, items, classes, far), "neighbours")
+    of_place = np.full(len(items.known), -1, np.int16)
+    found = counted.where(F.col("bucket").isNotNull()).select("bucket", "codes", "ns").repartition("bucket").sortWithinPartitions("bucket").mapInArrow(known, "place bigint, class int").toArrow()
+    of_place[np.asarray(found["place"])] = np.asarray(found["class"])
+    if not far:
+        return of_place, None
+    # of words that aren't known, none occurs more often than the least known one: lists stay short
+    by_word = counted.where(F.col("word").isNotNull()).groupBy("word").agg(F.collect_list(F.struct("before", "after", "n")).alias("around"), F.sum("n").alias("c"))
+    return of_place, by_word.where(F.col("c") >= LEAST).select("word", "around").mapInArrow(others, "word binary, class int")
+
+
+_READ = "rid bigint, doc_id bigint, held_out boolean, n_tokens bigint, known bigint, base double, model double, first array<int>, second array<int>, tail array<struct<w: binary, k: bigint, item: int>>, pairs array<bigint>"
+
+
+def _read(docs: DataFrame, model: BrownModel, pairs: bool = False) -> DataFrame:
+    """Each document's sums over what tasks know. ``tail`` has the distinct words that they don't. If those have classes of their
+    own, ``first`` and ``second`` are the classes of steps that touch one, where -1 - k stands for that of the tail's word k.
+    With ``pairs``, a row without rid at a task's end has the counts of all other steps, a matrix of classes."""
+    items, classes = model.items, model.classes
+    size = len(model.transition)
+
+    def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        logs = np.log10(items.counts + ADDED)
+        end_log = np.log10(model.end_count + ADDED)
+        between = np.zeros(size * size, np.int64)
+        for batch in batches(rows, 512):
+            texts = [tokens(x) for x in utf8(batch.column(3))]
+            flat = [w for words in texts for w in words]
+            places, numbers = items.read(flat)
+            sizes = np.array([len(t) for t in texts], np.int64)
+            starts = np.cumsum(sizes) - sizes
+            word_log = np.where(places >= 0, logs[places], 0.0) if len(logs) else np.zeros(len(flat))
+            own = np.where(places >= 0, model.of_place[places], -1) if len(logs) else np.full(len(flat), -1)
+            kind = np.where(own >= 0, own, classes[numbers])
+            # of rare words, the count is part of the chance within their ending's item
+            chance = np.where(own >= 0, word_log - model.within[own], model.emission[numbers] + np.where(numbers < items.words, 0.0, word_log))
+            unknown = np.flatnonzero(places < 0)
+            cut = np.searchsorted(unknown, np.append(starts, len(flat)))
+            words, tail_sizes, which = [], [], np.zeros(len(unknown), np.int64)
+            for k in np.flatnonzero(np.diff(cut)).tolist():
+                index: dict[bytes, int] = {}
+                which[cut[k] : cut[k + 1]] = [index.setdefault(flat[i], len(index)) for i in unknown[cut[k] : cut[k + 1]].tolist()]
+                words += index
+                tail_sizes.append((k, len(index)))
+            tail_size = np.zeros(len(texts), np.int64)
+            if tail_sizes:
+                tail_size[[k for k, _ in tail_sizes]] = [n for _, n in tail_sizes]
+            tail_ends = np.insert(np.cumsum(tail_size), 0, 0)
+            slot = np.repeat(tail_ends[:-1], np.diff(cut)) + which
+            item = np.zeros(len(words), np.int64)
+            item[slot] = numbers[unknown]
+            times = np.bincount(slot, minlength=len(words))
+            tails = pa.StructArray.from_arrays([pa.array(words, pa.binary()), pa.array(times, pa.int64()), pa.array(item, pa.int32())], names=["w", "k", "item"])
+            if model.far:
+                kind[unknown] = -1 - which
+            if model.far:
+                chance[unknown] = 0.0
+            ends = np.append(starts, len(flat))
+            row, gain = np.insert(kind, ends, classes[items.end]), np.insert(chance, ends, model.emission[items.end])
+            first, second = row[:-1], row[1:]
+            solid = (first >= 0) & (second >= 0)
+            steps = np.where(solid, model.transition[np.maximum(first, 0), np.maximum(second, 0)], 0.0) + gain[1:]
+            at = np.cumsum(sizes + 1) - (sizes + 1)
+            model_sum = np.add.reduceat(steps, at) if len(at) else np.zeros(0)
+            if pairs:
+                between += np.bincount(first[solid] * size + second[solid], minlength=size * size)
+            offsets = np.insert(np.cumsum(np.add.reduceat((~solid).astype(np.int64), at)), 0, 0) if len(at) else np.zeros(1, np.int64)
+            lists = [pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(x[~solid], pa.int32())) for x in (first, second)]
+            sums = lambda x: np.concatenate([[0.0], np.cumsum(x)])[starts + sizes] - np.concatenate([[0.0], np.cumsum(x)])[starts]
+            known = sums((places >= 0).astype(np.float64)).round().astype(np.int64) + (model.end_count > 0)
+            yield pa.RecordBatch.from_arrays(
+                [
+                    batch.column(0),
+                    batch.column(1),
+                    batch.column(2),
+                    pa.array(sizes + 1, pa.int64()),
+                    pa.array(known, pa.int64()),
+                    pa.array(sums(word_log) + end_log, pa.float64()),
+                    pa.array(model_sum, pa.float64()),
+                    *lists,
+                    pa.ListArray.from_arrays(pa.array(tail_ends, pa.int32()), tails),
+                    pa.nulls(len(texts), pa.list_(pa.int64())),
+                ],
+                names=_NAMES,
+            )
+        if pairs and between.any():
+            last = {n: None for n in _NAMES} | {"pairs": between}
+            yield pa.RecordBatch.from_arrays([pa.array([last[n]], t) for n, t in zip(_NAMES, _KINDS, strict=True)], names=_NAMES)
+
+    given = docs.select(F.monotonically_increasing_id().alias("rid"), F.col("doc_id").cast("bigint").alias("doc_id"), held_out(10).alias("held_out"), "text")
+    return durable(given.mapInArrow(run, _READ), "read")
+
+
+_NAMES = [x.split()[0] for x in _READ.split(", ") if x.split()[0] not in ("k:", "item:")]
+_KINDS = [pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.list_(pa.struct([("w", pa.binary()), ("k", pa.int64()), ("item", pa.int32())])), pa.list_(pa.int64())]
+
+
+def _look_up(read: DataFrame, counts: DataFrame, classed: bool) -> DataFrame:
+    """Rows (rid, more, more_known, found) of documents with words that tasks don't know; ``found``, with ``classed``, has of each
+    word in the tail its number, its class or null, its item and how often it occurs."""
+    tail = read.where(F.col("rid").isNotNull()).select("rid", F.posexplode("tail").alias("j", "t")).select("rid", "j", F.col("t.w").alias("word"), F.col("t.k").alias("k"), F.col("t.item").alias("item"))
+    c = F.coalesce(F.col("c"), F.lit(0))
+    sums = [F.sum(F.col("k") * F.log10(c + F.lit(ADDED))).alias("more"), F.sum(F.when(c > 0, F.col("k")).otherwise(0)).alias("more_known")]
+    if classed:
+        sums.append(F.collect_list(F.struct("j", F.coalesce("class", F.lit(-1)).alias("class"), "item", "k")).alias("found"))
+    return tail.join(counts, "word", "left").groupBy("rid").agg(*sums)
+
+
+def _settled(batch: pa.RecordBatch, model: BrownModel) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of rows (.., first, second, found) as the last three columns: first and second with all classes known, the row of each of
+    these steps, and each row's sum of chances of the looked-up words in their classes or items."""
+    first, second, found = (batch.column(batch.num_columns - k) for k in (3, 2, 1))
+    steps, words = (np.asarray(x.value_lengths().fill_null(0)) for x in (first, found))
+    j, own, item, k = (np.asarray(found.flatten().field(i)) for i in range(4))
+    each = np.repeat(np.arange(batch.num_rows), words)
+    base = np.cumsum(words) - words
+    kind = np.zeros(len(j), np.int64)
+    kind[base[each] + j] = np.where(own >= 0, own, model.classes[item])
+    gain = np.bincount(each, k * np.where(own >= 0, -model.within[own], model.emission[item]), batch.num_rows)
+    where = np.repeat(np.arange(batch.num_rows), steps)
+    sides = []
+    for x in (np.asarray(first.flatten()).astype(np.int64), np.asarray(second.flatten()).astype(np.int64)):
+        x = x.copy()
+        x[x < 0] = kind[base[where[x < 0]] - 1 - x[x < 0]]
+        sides.append(x)
+    return *sides, where, gain
+
+
+def _count_classes(docs: DataFrame, model: BrownModel, counts: DataFrame) -> np.ndarray:
+    """How often, in training documents, a class follows another, each word in the class that it has in the end."""
+    size = len(model.transition)
+    read = _read(docs.where(~held_out(10)), model, pairs=True)
+    parts = read.where(F.col("rid").isNull()).select(F.posexplode("pairs").alias("code", "n")).where("n > 0")
+
+    def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        between = np.zeros(size * size, np.int64)
+        for batch in rows:
+            first, second, _, _ = _settled(batch, model)
+            between += np.bincount(first * size + second, minlength=size * size)
+        codes = np.flatnonzero(between)
+        yield pa.RecordBatch.from_arrays([pa.array(codes, pa.int32()), pa.array(between[codes], pa.int64())], names=["code", "n"])
+
+    if model.far:
+        met = read.where(F.col("rid").isNotNull()).select("rid", "first", "second").join(_look_up(read, counts, True).select("rid", "found"), "rid")
+        parts = parts.unionByName(met.select("first", "second", "found").mapInArrow(run, "code int, n bigint"))
+    found = parts.groupBy("code").agg(F.sum("n").alias("n")).toArrow()
+    between = np.zeros(size * size)
+    between[np.asarray(found["code"], np.int64)] = np.asarray(found["n"], np.float64)
+    return between.reshape(size, size)
+
+
+def _transitions(between: np.ndarray) -> np.ndarray:
+    share = (between.sum(axis=0) + 0.5) / (between.sum() + 0.5 * len(between))
+    return np.log10((between + BACKED_OFF * share) / (between.sum(axis=1, keepdims=True) + BACKED_OFF))
+
+
 def train(docs: DataFrame) -> tuple[BrownModel, DataFrame]:
-    """The model, and the table (word, c) of all training words."""
+    """The model, and the table (word, c, class) of all training words; class is null where tasks know the word or it has none of
+    its own."""
     counted = durable(_count_words(docs), "words")
     ends = counted.where(F.col("word").isNull()).agg(F.coalesce(F.sum("c"), F.lit(0)).alias("c")).first().c
     counts = counted.where(F.col("word").isNotNull())
-    totals = counts.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count(F.lit(1)).alias("v")).first()
+    rare = F.col("c") < LEAST
+    rarely = [F.coalesce(F.sum(F.when(rare, F.col("c"))), F.lit(0)).alias("rare_n"), F.count(F.when(rare, 1)).alias("rare_v")]
+    totals = counts.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count(F.lit(1)).alias("v"), *rarely).first()
     top = counts.orderBy(F.desc("c"), "word").limit(KNOWN).toArrow()
     known = top["word"].to_pylist()
     words = min(WORDS, len(known))
@@ -183,7 +452,7 @@ def train(docs: DataFrame) -> tuple[BrownModel, DataFrame]:
     ending = F.expr(f"substring(word, -{ENDING_BYTES}, {ENDING_BYTES})")
     short = F.when(F.length("word") <= ENDING_BYTES, F.col("word")).otherwise(ending)
     others = counts.join(F.broadcast(docs.sparkSession.createDataFrame([(w,) for w in itemised], "word binary")), "word", "left_anti")
-    by_ending = others.groupBy(short.alias("ending")).agg(F.sum("c").alias("n"), F.count(F.lit(1)).alias("v"))
+    by_ending = others.groupBy(short.alias("ending")).agg(F.sum("c").alias("n"), *rarely)
     endings = by_ending.orderBy(F.desc("n"), "ending").limit(ENDINGS).toArrow()
     items = Items(known, np.asarray(top["c"], np.int64), words, endings["ending"].to_pylist())
     matrix = np.zeros(items.size**2)
@@ -191,23 +460,37 @@ def train(docs: DataFrame) -> tuple[BrownModel, DataFrame]:
     matrix[np.asarray(bigrams["code"], np.int64)] = np.asarray(bigrams["n"], np.float64)
     matrix = matrix.reshape(items.size, items.size)
     classes = exchange_clusters(matrix, min(CLASSES, items.size), SWEEPS, items.end)
-    size = classes.max() + 1
-    between = np.zeros((size, size))
+    size = int(classes.max()) + 1
+    between, within = np.zeros((size, size)), np.zeros(size)
     np.add.at(between, (classes[:, None], classes[None, :]), matrix)
-    share = (between.sum(axis=0) + 0.5) / (between.sum() + 0.5 * size)
-    transition = np.log10((between + BACKED_OFF * share) / (between.sum(axis=1, keepdims=True) + BACKED_OFF))
-    own = matrix.sum(axis=0) + ADDED
+    np.add.at(within, classes, matrix.sum(axis=0) + ADDED)
+    # no word that isn't known occurs more often than the last known one
+    far = len(known) < totals.v and bool(items.counts[-1] >= LEAST)
+    of_place, others_classes = _assign(docs, items, classes, _transitions(between), np.log10(within), far)
+    none = F.lit(None).cast("int").alias("class")
+    counts = durable(counts.join(others_classes, "word", "left"), "classed").select("word", "c", "class") if far else counts.select("word", "c", none)
+    # Items now stand for the words without a class of their own. A word's chance in its ending's item is
+    # (c + ADDED) / (n + ADDED * (v + 1)); one without a count takes the place of all unseen.
+    n, v = np.zeros(items.size), np.zeros(items.size)
+    n[words : items.rest], v[words : items.rest] = np.asarray(endings["rare_n"]), np.asarray(endings["rare_v"])
+    first = items.counts[:words]
+    n[items.rest] = float(totals.rare_n - first[first < LEAST].sum() - n[words : items.rest].sum())
+    v[items.rest] = float(totals.rare_v - (first < LEAST).sum() - v[words : items.rest].sum())
+    own = n + ADDED
+    own[:words], own[items.end] = first + ADDED, float(ends) + ADDED
     within = np.zeros(size)
     np.add.at(within, classes, own)
-    emission = np.log10(own / within[classes])
-    # A word's chance in its ending's item is (c + ADDED) / (n + ADDED * (v + 1)); one without a count takes the place of all unseen.
-    n, v = np.zeros(items.size), np.zeros(items.size)
-    n[words : items.rest], v[words : items.rest] = np.asarray(endings["n"]), np.asarray(endings["v"])
-    n[items.rest] = float(totals.n - items.counts[:words].sum() - n[words : items.rest].sum())
-    v[items.rest] = float(totals.v - words - v[words : items.rest].sum())
+    classed = of_place >= 0
+    np.add.at(within, of_place[classed], items.counts[classed] + ADDED)
+    if far:
+        for r in counts.where(F.col("class").isNotNull()).groupBy("class").agg(F.sum(F.col("c") + F.lit(ADDED)).alias("n")).collect():
+            within[r["class"]] += r.n
+    within = np.log10(np.maximum(within, ADDED))
+    emission = np.log10(own) - within[classes]
     inside = np.arange(items.size)
     emission -= np.where((inside >= words) & (inside <= items.rest), np.log10(n + ADDED * (v + 1)), 0)
-    model = BrownModel(items, transition, classes, emission, int(ends), int(totals.n + ends), int(totals.v + (ends > 0)))
+    model = BrownModel(items, np.zeros((size, size)), classes, emission, of_place, within, far, int(ends), int(totals.n + ends), int(totals.v + (ends > 0)))
+    model.transition = _transitions(_count_classes(docs, model, counts))
     return model, counts
 
 
@@ -219,52 +502,24 @@ def score(docs: DataFrame, model: BrownModel, counts: DataFrame) -> DataFrame:
     null and count as training documents; repeated rows give repeated results; an empty table gives an empty result; other
     columns, whatever their names, are ignored.
     """
-    items = model.items
-
-    def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        logs = np.log10(items.counts + ADDED)
-        end_log = np.log10(model.end_count + ADDED)
-        for batch in batches(rows, 512):
-            texts = [tokens(x) for x in utf8(batch.column(3))]
-            flat = [w for words in texts for w in words]
-            places, numbers = items.read(flat)
-            sizes = np.array([len(t) for t in texts])
-            starts = np.cumsum(sizes) - sizes
-            word_log = np.where(places >= 0, logs[places], 0.0) if len(logs) else np.zeros(len(flat))
-            plain = word_log  # of words whose item is their ending, the count is part of the chance
-            in_item = np.where(numbers < items.words, 0.0, word_log)
-            row = np.insert(numbers, np.append(starts, len(flat)), items.end)
-            steps = model.transition[model.classes[row[:-1]], model.classes[row[1:]]] + model.emission[row[1:]]
-            at = np.cumsum(sizes + 1) - (sizes + 1)
-            model_sum = np.add.reduceat(steps, at) if len(at) else np.zeros(0)
-            sums = lambda x: np.concatenate([[0.0], np.cumsum(x)])[starts + sizes] - np.concatenate([[0.0], np.cumsum(x)])[starts]
-            known = sums((places >= 0).astype(np.float64)).round().astype(np.int64) + (model.end_count > 0)
-            tails = []
-            for k in range(len(texts)):
-                unknown = np.flatnonzero(places[starts[k] : starts[k] + sizes[k]] < 0).tolist()
-                tails.append(list(Counter([texts[k][i] for i in unknown]).items()))
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column(0),
-                    batch.column(1),
-                    batch.column(2),
-                    pa.array(sizes + 1, pa.int64()),
-                    pa.array(known, pa.int64()),
-                    pa.array(sums(plain) + end_log, pa.float64()),
-                    pa.array(model_sum + sums(in_item), pa.float64()),
-                    pa.array([[{"w": w, "k": n} for w, n in t] for t in tails], pa.list_(pa.struct([("w", pa.binary()), ("k", pa.int64())]))),
-                ],
-                names=["rid", "doc_id", "held_out", "n_tokens", "known", "base", "model", "tail"],
-            )
-
-    given = docs.select(F.monotonically_increasing_id().alias("rid"), "doc_id", held_out(10).alias("held_out"), "text")
-    read = durable(given.mapInArrow(run, "rid bigint, doc_id bigint, held_out boolean, n_tokens bigint, known bigint, base double, model double, tail array<struct<w: binary, k: bigint>>"), "read")
-    tail = read.select("rid", F.explode("tail").alias("t")).select("rid", F.col("t.w").alias("word"), F.col("t.k").alias("k"))
-    c = F.coalesce(F.col("c"), F.lit(0))
-    found = tail.join(counts, "word", "left").groupBy("rid").agg(F.sum(F.col("k") * F.log10(c + F.lit(ADDED))).alias("more"), F.sum(F.when(c > 0, F.col("k")).otherwise(0)).alias("more_known"))
+    read = _read(docs, model)
+    joined = read.drop("tail", "pairs").join(_look_up(read, counts, model.far), "rid", "left")
+    if model.far:
+        kept = ["doc_id", "held_out", "n_tokens", "known", "base", "model", "more", "more_known"]
+
+        def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in rows:
+                first, second, where, gain = _settled(batch, model)
+                added = gain + np.bincount(where, model.transition[first, second], batch.num_rows)
+                columns = [batch.column(k) for k in range(len(kept))]
+                columns[5] = pa.array(np.asarray(columns[5]) + added, pa.float64())
+                yield pa.RecordBatch.from_arrays(columns, names=kept)
+
+        schema = "doc_id bigint, held_out boolean, n_tokens bigint, known bigint, base double, model double, more double, more_known bigint"
+        joined = joined.select(*kept, "first", "second", "found").mapInArrow(run, schema)
     none = np.log10(model.train_tokens + ADDED * (model.vocabulary + 1))
     more = F.coalesce("more", F.lit(0.0))
-    return read.drop("tail").join(found, "rid", "left").select(
+    return joined.select(
         "doc_id",
         "held_out",
         "n_tokens",

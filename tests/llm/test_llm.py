@@ -322,6 +322,46 @@ def test_model_is_a_distribution(spark):
         assert 0.9 < sum(10**t * inside.get(c, 0) for c, t in enumerate(row)) <= 1 + 1e-9
 
 
+@pytest.mark.parametrize("known", [200_000, 60])
+def test_words_beyond_the_items_have_their_own_class(spark, monkeypatch, known):
+    """Nouns follow articles and verbs follow nouns; all share one ending. A few of them are items, others known, others not."""
+    monkeypatch.setattr(brown_lm, "KNOWN", known)
+    monkeypatch.setattr(brown_lm, "WORDS", 30)
+    chance = random.Random(5)
+    nouns, verbs = [f"n{k}xxxx" for k in range(60)], [f"v{k}xxxx" for k in range(60)]
+    pick = lambda some: some[min(int(chance.expovariate(0.06)), 59)]
+    rows = [(k, " ".join(f"the {pick(nouns)} {pick(verbs)}" for _ in range(20)), "en", "s", 0) for k in range(400)]
+    docs = frame(spark, rows)
+    model, counts = brown_lm.train(docs)
+    table = {bytes(r.word): (r.c, r["class"]) for r in counts.collect()}
+    assert model.far == (known == 60) and len(table) > 110
+    items, kinds, inside = model.items, {}, Counter()
+    (numbers, ) = items.read(list(table))[1:]
+    for (word, (c, own)), item in zip(table.items(), numbers, strict=True):
+        place = items.number.get(word, -1)
+        own = own if place < 0 else model.of_place[place] if model.of_place[place] >= 0 else None
+        assert (own is None) == (place >= 0 and place < items.words or c < brown_lm.LEAST)
+        kinds[word] = model.classes[item] if own is None else own
+        inside[kinds[word]] += (c + brown_lm.ADDED) / 10 ** model.within[own] if own is not None else 10 ** model.emission[item] * (1 if item < items.words else c + brown_lm.ADDED)
+    often = [w for w, (c, _) in table.items() if c >= 20 and w != b"the"]
+    sides = [{kinds[w] for w in often if w[:1] == x} for x in (b"n", b"v")]
+    assert not sides[0] & sides[1]  # one ending's class for all of them before
+    assert all(0.8 < x <= 1 + 1e-9 for x in inside.values())
+    got = {r.doc_id: r.score for r in brown_lm.score(docs, model, counts).collect()}
+    for doc_id, text, *_ in rows[:40]:
+        want, before = 0.0, model.classes[items.end]
+        for word in text.encode().split():
+            (c, own), place = table.get(word, (0, None)), items.number.get(word, -1)
+            item = items.read([word])[1][0]
+            own = own if place < 0 else model.of_place[place] if model.of_place[place] >= 0 else None
+            now = model.classes[item] if own is None else own
+            count = math.log10(c + brown_lm.ADDED)
+            want += model.transition[before, now] + (count - model.within[own] if own is not None else model.emission[item] + (count if item >= items.words else 0))
+            before = now
+        want += model.transition[before, model.classes[items.end]] + model.emission[items.end]
+        assert abs(got[doc_id] - want) < 1e-6
+
+
 def test_exchange_finds_classes():
     # items of one kind are followed by those of the other
     one, other = [1, 2, 3, 5], [4, 6, 7, 8]
