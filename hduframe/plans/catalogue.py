@@ -392,9 +392,16 @@ def _fits_ascii(spark: SparkSession, d: str) -> DataFrame:
     return _through_fits(spark, frame, write={"table_type": "ascii"})
 
 
-@_add("vector_column")
+@_add("vla_lengths_vectors", "SELECT vec_id, (vec_id % 65)::INT AS n FROM embeddings")
+def _vla_lengths_vectors(spark: SparkSession, d: str) -> DataFrame:
+    """Beginnings of all embeddings, of 0 to 64 numbers."""
+    v = F.slice("embedding", F.lit(1), (F.col("vec_id") % 65).cast("int"))
+    return _through_fits(spark, _t(spark, d, "embeddings").select("vec_id", v.alias("v")), "folder").select("vec_id", values.vla_length(F.col("v")).alias("n"))
+
+
+@_add("vector_column", "SELECT vec_id, embedding FROM embeddings")
 def _fits_vector(spark: SparkSession, d: str) -> DataFrame:
-    """A fixed-length vector column; SQL over the same numbers is in ``image_stats``."""
+    """A fixed-length vector column."""
     frame, key, name = _vector(spark, d)
     size = frame.select(F.max(F.size(name))).first()[0]
     return _through_fits(spark, frame.select(key, F.col(name).cast("array<float>").alias(name)), "folder", write={"schema": {name: {"format": f"{size}E"}}})
@@ -564,6 +571,15 @@ def _stream_total(spark: SparkSession, d: str) -> DataFrame:
     return spark.createDataFrame([(sum(sizes),)], "n long")
 
 
+@_add("stream_chunks_events", "SELECT count(*) AS n, sum(event_id)::BIGINT AS s FROM events")
+def _stream_events(spark: SparkSession, d: str) -> DataFrame:
+    path, n, s = _scratch(spark), 0, 0
+    interop.write_table(_t(spark, d, "events").select("event_id"), path)
+    for b in table.stream_chunks(spark, path, 1, chunk_rows=5000):
+        n, s = n + b.num_rows, s + int(b.column("event_id").to_numpy().sum())
+    return spark.createDataFrame([(n, s)], "n long, s long")
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A predicate over a table that went through FITS."""
     return _fits_where(spark, sf_dir)
