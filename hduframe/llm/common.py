@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import hashlib
 import tempfile
 import uuid
@@ -9,6 +12,9 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -22,12 +28,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: ``spark.checkpoint.dir``; where it is unset (tests), a folder of our own."""
+    """The folder that all executors share: ``spark.checkpoint.dir``. Where it is unset and all executors are in this machine's
+    one process (tests), a folder of our own; on a cluster that is an error."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         own = spark.sparkContext._jsc.sc().getCheckpointDir()
         if own.isDefined():
             found = own.get()
+        elif not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         else:
             spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="hduframe-"))
             found = spark.sparkContext._jsc.sc().getCheckpointDir().get()
@@ -42,6 +51,19 @@ def durable(df: DataFrame, what: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def numbered(docs: DataFrame, name: str = "rid") -> DataFrame:
+    """``docs`` with a column that tells its rows apart, the same each time they are read: file and row where they are a scan of
+    Parquet files, else a number that is written with them first."""
+    plan = docs._jdf.queryExecution().analyzed()
+    while plan.nodeName() in ("Project", "Filter"):
+        plan = plan.child()
+    if plan.nodeName() == "LogicalRelation":
+        with contextlib.suppress(AnalysisException):  # no rows' places in this format
+            place = docs.metadataColumn("_metadata")
+            return docs.select("*", F.struct(F.xxhash64(place["file_path"]).alias("f"), place["row_index"].alias("r")).alias(name))
+    return durable(docs.select("*", F.struct(F.lit(0).cast("bigint").alias("f"), F.monotonically_increasing_id().alias("r")).alias(name)), "numbered")
+
+
 def discard(df: DataFrame) -> None:
     """Delete a table that ``durable`` wrote; later reads of it fail."""
     spark = df.sparkSession
@@ -57,12 +79,54 @@ def held_out(mod: int, rest: int = 0):
     return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % mod == rest, F.lit(False))
 
 
+_HELD: dict = {"stage": None}
+
+
+def _leave_stages_behind() -> None:
+    """A Python worker serves tasks of many stages. At a stage's first task, what ``of_worker`` made for an earlier one goes, and
+    memory that is free goes back to the system."""
+    context = TaskContext.get()
+    stage = context.stageId() if context is not None else None
+    if _HELD["stage"] != stage:
+        _HELD.clear()
+        _HELD["stage"] = stage
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        with contextlib.suppress(OSError, AttributeError):  # another C library
+            ctypes.CDLL(None).malloc_trim(0)
+
+
+def of_worker(key, make):
+    """``make()``, once for each key, Python worker and stage."""
+    _leave_stages_behind()
+    if key not in _HELD:
+        _HELD[key] = make()
+    return _HELD[key]
+
+
 def batches(table_iter: Iterator[pa.RecordBatch], rows: int = 4096) -> Iterator[pa.RecordBatch]:
+    _leave_stages_behind()
     for batch in table_iter:
         for at in range(0, batch.num_rows, rows):
             yield batch.slice(at, rows)
 
 
+def bounded(table_iter: Iterator[pa.RecordBatch], most: int = 1 << 20, rows: int = 4096) -> Iterator[pa.RecordBatch]:
+    """Batches of at most ``rows`` rows and, where a row alone isn't larger, ``most`` bytes of texts."""
+    _leave_stages_behind()
+    for batch in table_iter:
+        sizes = np.zeros(batch.num_rows, np.int64)
+        for column in batch.columns:
+            if pa.types.is_string(column.type) or pa.types.is_binary(column.type) or pa.types.is_large_string(column.type) or pa.types.is_large_binary(column.type):
+                sizes += np.asarray(pc.fill_null(pc.binary_length(column), 0))
+        ends, at = np.cumsum(sizes), 0
+        while at < batch.num_rows:
+            stop = int(np.searchsorted(ends, (ends[at - 1] if at else 0) + most, side="right"))
+            stop = min(max(stop, at + 1), at + rows)
+            yield batch.slice(at, stop - at)
+            at = stop
+
+
 def strings(column: pa.Array) -> list[str]:
     """Python strings; null is the empty text."""
     return [x if x is not None else "" for x in column.to_pylist()]
@@ -77,6 +141,7 @@ def _splitmix(x: np.ndarray) -> np.ndarray:
 
 _BASE = np.uint64(0xD6E8FEB86659FD93)
 _UNBASE = np.uint64(pow(int(_BASE), -1, 1 << 64))
+_SPACES = (b" ", b"\t", b"\n", b"\x0b", b"\x0c", b"\r")
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -109,15 +174,53 @@ def _byte_runs(texts: list[bytes]) -> Iterator[tuple[int, int]]:
         yield at, len(texts)
 
 
+def _cut_at_space(text: bytes, most: int) -> Iterator[bytes]:
+    """Parts of about ``most`` bytes, cut where a word ends; a word is never cut."""
+    at = 0
+    while len(text) - at > most:
+        cut = max(text.rfind(c, at + 1, at + most) for c in _SPACES)
+        if cut < 0:
+            cut = min((k for k in (text.find(c, at + most) for c in _SPACES) if k >= 0), default=len(text))
+        yield text[at:cut]
+        at = cut
+    yield text[at:]
+
+
+def part_runs(texts: list[bytes], most: int = CHUNK_BYTES) -> Iterator[tuple[list[int], list[bytes], bool, bool]]:
+    """Runs of about ``most`` bytes at most: the texts' numbers, the texts, whether the first goes on from the run before, and
+    whether the last one goes on in the next. Only texts longer than that are cut, between words."""
+    rows, parts, size, goes_on = [], [], 0, False
+    for k, text in enumerate(texts):
+        if size and size + len(text) > most:
+            yield rows, parts, goes_on, False
+            rows, parts, size, goes_on = [], [], 0, False
+        pieces = [text] if len(text) <= most else list(_cut_at_space(text, most))
+        for n, piece in enumerate(pieces):
+            rows.append(k)
+            parts.append(piece)
+            size += len(piece)
+            if n + 1 < len(pieces):
+                yield rows, parts, goes_on, True
+                rows, parts, size, goes_on = [], [], 0, True
+    if rows:
+        yield rows, parts, goes_on, False
+
+
 def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the words of A-Z-lowered texts, one after the other, and where each text's words begin (one entry more).
+    """Hashes of the words of A-Z-lowered texts, one after the other, and where each text's words begin (one entry more)."""
+    return word_spans(texts)[:2]
+
+
+def word_spans(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """As ``word_hashes``; and the lowered bytes of all texts, and where in them each word starts and stops.
 
     A word's hash is a polynomial over its bytes, taken from differences of prefix sums over the whole run.
     """
     data = np.frombuffer(b"".join(texts), np.uint8)
     ends = np.cumsum([0, *map(len, texts)])
     if not len(data):
-        return np.zeros(0, np.uint64), np.zeros(len(texts) + 1, np.int64)
+        none = np.zeros(0, np.int64)
+        return np.zeros(0, np.uint64), np.zeros(len(texts) + 1, np.int64), data, none, none
     power, inverse = _powers(len(data))
     sums = np.zeros(len(data) + 1, np.uint64)
     np.cumsum(_VALUE[data] * power[: len(data)], out=sums[1:])
@@ -131,7 +234,7 @@ def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     last[-1] = True
     starts, stops = np.flatnonzero(first & solid), np.flatnonzero(last & solid) + 1
     words = _splitmix((sums[stops] - sums[starts]) * inverse[starts] + (stops - starts).astype(np.uint64))
-    return words, np.searchsorted(starts, ends)
+    return words, np.searchsorted(starts, ends), _LOWER[data], starts, stops
 
 
 def shingles(texts: list[bytes], words: int = SHINGLE_WORDS) -> Iterator[np.ndarray]:
@@ -178,10 +281,14 @@ class _Kept(dict):
 
 
 class Memo:
-    """Results by key for repeated words: a bounded dictionary; beyond the bound, new keys are computed again each batch."""
+    """Results by key for repeated words: a dictionary of about ``most`` bytes; beyond that, new keys are computed again each
+    batch. Keys are bytes, results bytes or numbers."""
+
+    #: Bytes that an entry takes besides what its key and result hold.
+    ENTRY = 200
 
     def __init__(self, most: int) -> None:
-        self.most, self.kept = most, _Kept()
+        self.room, self.kept = most, _Kept()
 
     def each(self, lists: list[list], compute) -> list[list]:
         """The lists with each key replaced by its result. ``compute(list)`` is asked for keys that aren't kept, once each, and
@@ -200,6 +307,11 @@ class Memo:
         new = dict(zip(missing, compute(missing), strict=True))
         for k in incomplete:
             found[k] = [new[key] if value is None else value for key, value in zip(lists[k], found[k], strict=True)]
-        room = self.most - len(self.kept)
-        self.kept.update(new if room >= len(new) else list(new.items())[: max(room, 0)])
+        if self.room > 0:
+            for key, value in new.items():
+                self.room -= self.ENTRY + len(key) + (len(value) if isinstance(value, bytes) else 0)
+                if self.room <= 0:
+                    break
+                self.kept[key] = value
+        asked.clear()
         return found
