@@ -17,12 +17,11 @@ from bisect import bisect_left, insort
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Memo, batches, durable, utf8
+from .common import Memo, bounded, durable, of_worker, utf8
 from .units import byte_symbols
 
 CAPACITY = 4096
@@ -62,7 +61,7 @@ class SpacelessEncoder:
     default. What stands between white space is encoded once and remembered; of what isn't remembered, a word and the
     punctuation behind it are encoded separately."""
 
-    def __init__(self, path: str, remember: int = 250_000) -> None:
+    def __init__(self, path: str, remember: int = 56_000_000) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -103,18 +102,13 @@ class SpacelessEncoder:
         return list(map(b"".join, self.chunks.each([self._units(x) for x in texts], self._encode)))
 
 
-_ENCODERS: dict[str, SpacelessEncoder] = {}
-
-
 def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end: int = END) -> DataFrame:
     """Rows (rid, doc_id, piece, start, length, ids_crc32): each document's ids and the end id, cut every ``capacity`` ids."""
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if path not in _ENCODERS:
-            _ENCODERS[path] = SpacelessEncoder(path)
-        encoder = _ENCODERS[path]
+        encoder = of_worker(("spaceless", path), lambda: SpacelessEncoder(path))
         last = np.array([end], "<u4").tobytes()
-        for batch in batches(rows, 4096):
+        for batch in bounded(rows):
             out = []
             for rid, doc_id, ids in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), encoder.encode(utf8(batch.column(2))), strict=True):
                 ids += last
@@ -200,25 +194,33 @@ _EVOLVED = "block bigint, island int, rid bigint, piece int, length bigint, bin
 def _epoch(rows: DataFrame, capacity: int, population: int, generations: int, epoch: int) -> DataFrame:
     """Evolve each (block, island). Rows with a bin are packings that came from (``origin``) islands."""
 
-    def run(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
-        block, island = int(key[0]), int(key[1])
-        items = group.drop_duplicates(["rid", "piece"]).sort_values(["length", "rid", "piece"])[["rid", "piece", "length"]].reset_index(drop=True)
-        search = GroupingGenetic(items["length"].tolist(), capacity, hash((block, island, epoch)))
+    def run(key: tuple, group: pa.Table) -> pa.Table:
+        block, island = (k.as_py() for k in key)
+        rid, piece, length = (np.asarray(group[c]) for c in ("rid", "piece", "length"))
+        order = np.lexsort((piece, rid, length))  # a piece is there once for each migrant
+        new = np.ones(len(order), bool)
+        new[1:] = (rid[order][1:] != rid[order][:-1]) | (piece[order][1:] != piece[order][:-1])
+        item = np.empty(len(order), np.int64)
+        item[order] = np.cumsum(new) - 1
+        own = order[new]
+        search = GroupingGenetic(length[own].tolist(), capacity, hash((block, island, epoch)))
         migrants = []
-        if "bin" in group:
-            number = {k: n for n, k in enumerate(zip(items["rid"], items["piece"], strict=True))}
-            for _, one in sorted(group.groupby("origin")):
+        if "bin" in group.column_names:
+            origin, at = np.asarray(group["origin"]), np.asarray(group["bin"])
+            for one in np.unique(origin):
                 bins: dict[int, list[int]] = {}
-                for rid, piece, at in zip(one["rid"], one["piece"], one["bin"], strict=True):
-                    bins.setdefault(at, []).append(number[rid, piece])
-                migrants.append([sorted(bins[b]) for b in sorted(bins)])
+                for number, n in sorted(zip(at[origin == one].tolist(), item[origin == one].tolist(), strict=True)):
+                    bins.setdefault(number, []).append(n)
+                migrants.append([bins[b] for b in sorted(bins)])
         packing = search.evolve(migrants, population, generations)
-        at = np.zeros(len(items), np.int32)
+        place = np.zeros(len(own), np.int32)
         for k, members in enumerate(packing):
-            at[members] = k
-        return items.assign(block=block, island=island, bin=at, bins=len(packing))[["block", "island", "rid", "piece", "length", "bin", "bins"]]
+            place[members] = k
+        same = lambda x, kind: pa.array(np.full(len(own), x), kind)
+        columns = [same(block, pa.int64()), same(island, pa.int32()), pa.array(rid[own]), pa.array(piece[own]), pa.array(length[own]), pa.array(place), same(len(packing), pa.int32())]
+        return pa.table(columns, names=["block", "island", "rid", "piece", "length", "bin", "bins"])
 
-    return rows.groupBy("block", "island").applyInPandas(run, _EVOLVED)
+    return rows.groupBy("block", "island").applyInArrow(run, _EVOLVED)
 
 
 def _evolved(items: DataFrame, capacity: int, islands: int, epochs: int, population: int, generations: int) -> DataFrame:
