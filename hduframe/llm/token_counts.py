@@ -3,23 +3,22 @@
 For a piece of bytes b, let T[i] be the last token of the encoding of b[:i] and C[i] the number of its tokens. If t is the one
 token that ends at i, begins at j and may follow T[j], then T[i] = t and C[i] = C[j] + 1. Two tokens may follow each other if
 byte-pair merging of their joined bytes gives just these two; that is found from the merges alone by undoing merges on both
-sides of the boundary. One pass thus gives the exact count of every prefix, and questions about truncation or budgets need no
-further encoding.
+sides of the boundary. One pass thus gives the exact count of every prefix. ``Prefixes`` stores them for a whole text, so that
+questions about truncation or budgets are looked up and nothing is encoded again.
 """
 
 from __future__ import annotations
 
 import json
-from bisect import bisect_right
 from collections.abc import Iterable, Iterator
-from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Memo, batches, utf8
+from .common import Memo, bounded, of_worker, utf8
 from .units import Cutter, byte_symbols
 
 LIMIT = 1024
@@ -28,7 +27,7 @@ LIMIT = 1024
 class PrefixCounter:
     """Exact counts for the byte-level BPE in a ``tokenizers`` JSON file, special strings inside texts included."""
 
-    def __init__(self, path: str, pattern: str, remember: int = 250_000) -> None:
+    def __init__(self, path: str, pattern: str, remember: int = 40_000_000) -> None:
         with open(path, encoding="utf-8") as file:
             spec = json.load(file)
         symbol = byte_symbols()
@@ -135,34 +134,75 @@ class PrefixCounter:
         return Prefixes(self, text)
 
 
+_SPACE_RUN = regex.compile(r"\s+")
+
+
 class Prefixes:
-    """Counts of all prefixes of one text. ``count(n)``: tokens of its first n code points; ``fit(budget)``: the most code points
-    that have at most that many tokens."""
+    """Counts of all prefixes of one text, found in one pass. ``count(n)``: tokens of its first n code points; ``fit(budget)``:
+    the most code points that have at most that many tokens."""
 
     def __init__(self, counter: PrefixCounter, text: str) -> None:
-        self.counter, self.text = counter, text
-        self.units = [u.decode() for u in counter._units(text.encode())]
-        self.starts = [0, *accumulate(map(len, self.units))]
-        self.sums = [0, *accumulate(counter.counts([u.encode() for u in self.units]))]
+        self.counter = counter
+        parts, special = [text], [x.decode() for x in counter.special]
+        for one in special:
+            parts = [y for p in parts for y in ([p] if p in special else regex.split(f"({regex.escape(one)})", p))]
+        counts, total = [np.zeros(1, np.int64)], 0
+        for k, part in enumerate(parts):
+            if part in special and k % 2:
+                continue  # its end was counted with the part before
+            follows = parts[k + 1] if k + 1 < len(parts) else ""
+            # a prefix that ends inside a special string has that string's beginning as ordinary text
+            own = self._of_ordinary(part + follows[:-1])
+            counts.append(total + own[1:])
+            total += int(own[len(part)])
+            if follows:
+                total += 1
+                counts.append(np.array([total]))
+        self.counts = np.concatenate(counts)
+        # the fewest tokens of a prefix from here on: it never falls
+        self.least = np.minimum.accumulate(self.counts[::-1])[::-1]
+
+    def _of_ordinary(self, text: str) -> np.ndarray:
+        """Tokens of every prefix of a text without special strings. A prefix has the text's pieces and a beginning of the next one;
+        but white space that it ends in is one piece, and a cut contraction may be several."""
+        out, at = np.zeros(len(text) + 1, np.int64), 0
+        for piece in map(bytes.decode, self.counter.cutter.pieces(text.encode())):
+            ends = np.cumsum([0, *(len(c.encode()) for c in piece)])
+            before = out[at]
+            out[at + 1 : at + len(piece) + 1] = before + np.array(self.counter.prefix_counts(piece.encode()))[ends[1:]]
+            if piece[0] == "'":
+                for n in range(2, len(piece)):
+                    out[at + n] = before + sum(self.counter.prefix_counts(p)[-1] for p in self.counter.cutter.pieces(piece[:n].encode()))
+            at += len(piece)
+        for run in _SPACE_RUN.finditer(text):
+            begin, end = run.span()
+            ends = np.cumsum([0, *(len(c.encode()) for c in run[0])])
+            out[begin + 1 : end + 1] = out[begin] + np.array(self.counter.prefix_counts(run[0].encode()))[ends[1:]]
+        return out
 
     def count(self, n: int) -> int:
-        n = min(max(n, 0), len(self.text))
-        k = min(bisect_right(self.starts, n) - 1, len(self.units))
-        special = [x.decode() for x in self.counter.special]
-        if k and k < len(self.units) and self.units[k] in special and n > self.starts[k] and self.units[k - 1] not in special:
-            k -= 1  # part of a special string is ordinary text and may join what stands before it
-        while k and self.text[self.starts[k] - 1].isspace() and (n == self.starts[k] or self.units[k][0].isspace()):
-            k -= 1  # a run of white space is cut by what follows it
-        return self.sums[k] + self.counter.counts([self.text[self.starts[k] : n].encode()])[0]
+        return int(self.counts[min(max(n, 0), len(self.counts) - 1)])
 
     def fit(self, budget: int) -> int:
-        # A prefix may have a few tokens more than a longer one, so all lengths from the top are asked, but no unit that
-        # begins over the budget by more than one piece can have.
-        k = bisect_right(self.sums, budget + 8)
-        n = self.starts[min(k + 1, len(self.units))]
-        while n and self.count(n) > budget:
-            n -= 1
-        return n
+        return max(int(np.searchsorted(self.least, budget, side="right")) - 1, 0)
+
+
+def truncate(df: DataFrame, path: str, pattern: str, limit: int = LIMIT, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+    """One row per row of ``df``: id and text, the longest beginning of the text that has at most ``limit`` tokens.
+
+    Null and empty texts give the empty text; a null id stays null; repeated rows give repeated results; an empty table gives an
+    empty result; all other columns, whatever their names, are ignored.
+    """
+
+    def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counter = _counter(path, pattern)
+        for batch in bounded(rows):
+            texts = [x.decode() for x in utf8(batch.column(1))]
+            cut = [t if n <= limit else t[: counter.prefixes(t).fit(limit)] for t, n in zip(texts, counter.counts([t.encode() for t in texts]), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(cut, pa.string())], names=[id_column, "text"])
+
+    kind = df.schema[id_column].dataType.simpleString()
+    return df.select(F.col(id_column), F.col(text_column)).mapInArrow(run, f"`{id_column}` {kind}, text string")
 
 
 def count_tokens(df: DataFrame, path: str, pattern: str, limit: int = LIMIT, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
@@ -174,7 +214,7 @@ def count_tokens(df: DataFrame, path: str, pattern: str, limit: int = LIMIT, id_
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counter = _counter(path, pattern)
-        for batch in batches(rows, 4096):
+        for batch in bounded(rows):
             texts = utf8(batch.column(1))
             counts = counter.counts(texts)
             yield pa.RecordBatch.from_arrays(
@@ -186,11 +226,6 @@ def count_tokens(df: DataFrame, path: str, pattern: str, limit: int = LIMIT, id_
     return df.select(F.col(id_column), F.col(text_column)).mapInArrow(run, f"`{id_column}` {kind}, n_bytes bigint, n_tokens bigint, over_limit boolean")
 
 
-_COUNTERS: dict[tuple[str, str], PrefixCounter] = {}
-
-
 def _counter(path: str, pattern: str) -> PrefixCounter:
-    """One for each Python worker, as workers serve many tasks."""
-    if (path, pattern) not in _COUNTERS:
-        _COUNTERS[path, pattern] = PrefixCounter(path, pattern)
-    return _COUNTERS[path, pattern]
+    """One for each Python worker and stage, as workers serve many tasks."""
+    return of_worker(("prefixes", path, pattern), lambda: PrefixCounter(path, pattern))
