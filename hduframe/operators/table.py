@@ -18,13 +18,11 @@ from ..sources.schema import ROW, columns, describe, struct
 
 #: Rows of a chunk where the caller names no other number.
 BATCH = 65_536
-PUSHDOWN = "spark.sql.python.filterPushdown.enabled"
 
 
 def register(spark: SparkSession) -> SparkSession:
-    """Make ``format("hdu")`` known to the session, and let filters reach it."""
+    """Make ``format("hdu")`` known to the session."""
     spark.dataSource.register(HduSource)
-    spark.conf.set(PUSHDOWN, "true")
     return spark
 
 
@@ -64,13 +62,14 @@ def read(
     with_row: bool = False,
     batch_size: int = BATCH,
     mode: str = "FAILFAST",
-    schema: T.StructType | None = None,
+    filters: Sequence[tuple] = (),
 ) -> DataFrame:
     """A table of one or more FITS files, or of Parquet, as a DataFrame.
 
     Columns come in the order asked for; none or an empty list means all. The slice applies before the predicate; a row list keeps
     its order and repeats, excludes a slice, and IndexError is raised for rows that aren't there. With ``with_row`` the column
-    ``__row`` has each row's number in its file.
+    ``__row`` has each row's number in its file. ``filters``: (column, comparison, value) for the reader, which may drop rows for
+    which one of them isn't true.
     """
     if rows is not None and row_slice is not None:
         raise ValueError("rows and row_slice exclude each other")
@@ -79,7 +78,7 @@ def read(
         frame = spark.read.parquet(path).withColumn(ROW, F.col("_metadata.row_index"))
         return _shaped(frame, columns, start, stop, rows, where, with_row)
     register(spark)
-    options = {"hdu": str(hdu), "row": "true", "nulls": str(apply_fits_nulls).lower(), "encoding": encoding, "chunk_rows": str(batch_size), "mode": mode, "pushdown": "true"}
+    options = {"hdu": str(hdu), "row": "true", "nulls": str(apply_fits_nulls).lower(), "encoding": encoding, "chunk_rows": str(batch_size), "mode": mode}
     options |= {"path": check_name(path)} if isinstance(path, str) else {"paths": json.dumps(list(path)), "path": path[0] if path else ""}
     if start:
         options["start"] = str(start)
@@ -101,6 +100,8 @@ def read(
     else:
         wanted_too = []
     options["columns"] = json.dumps(wanted + wanted_too)
+    if filters and rows is None:
+        options["filters"] = json.dumps(list(filters))
     frame = spark.read.format("hdu").options(**options).load()
     total = int(unit.header["NAXIS2"]) if isinstance(path, str) and not os.path.isdir(check_name(path)) else None
     if rows is not None and total is not None and any(r >= total for r in rows):
@@ -186,23 +187,33 @@ def scan(spark: SparkSession, path: str, batch_size: int = BATCH, max_chunks: in
 
 
 def _batches(frame: DataFrame, batch_size: int, max_chunks: int | None = None) -> Iterator[pa.RecordBatch]:
-    names, waiting, made = frame.columns, [], 0
+    """Rows travel as Arrow batches, one to a row of the job's result; a partition at a time is on the driver."""
     from .interop import arrow_schema
 
     kind = arrow_schema(frame.schema)
 
-    def batch(rows: list) -> pa.RecordBatch:
-        return pa.RecordBatch.from_pylist([r.asDict(recursive=True) for r in rows], schema=kind)
-
-    for row in frame.toLocalIterator(prefetchPartitions=True):
-        waiting.append(row)
-        if len(waiting) == batch_size:
-            yield batch(waiting)
-            waiting, made = [], made + 1
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, batch_size):
+                sink = pa.BufferOutputStream()
+                with pa.ipc.new_stream(sink, whole.schema) as out:
+                    out.write_batch(whole.slice(at, batch_size))
+                yield pa.RecordBatch.from_arrays([pa.array([sink.getvalue().to_pybytes()], pa.binary())], names=["batch"])
+
+    def cut(rows: pa.Table) -> pa.RecordBatch:
+        return pa.Table.from_arrays([c.cast(f.type) for c, f in zip(rows.columns, kind, strict=True)], schema=kind).combine_chunks().to_batches()[0]
+
+    waiting, made = kind.empty_table(), 0
+    for row in frame.mapInArrow(pack, "batch binary").toLocalIterator(prefetchPartitions=True):
+        more = pa.ipc.open_stream(bytes(row.batch)).read_all().rename_columns(kind.names)
+        waiting = pa.concat_tables([waiting, pa.Table.from_arrays([c.cast(f.type) for c, f in zip(more.columns, kind, strict=True)], schema=kind)])
+        while waiting.num_rows >= batch_size:
+            yield cut(waiting.slice(0, batch_size))
+            waiting, made = waiting.slice(batch_size), made + 1
             if made == max_chunks:
                 return
-    if waiting or (not made and not names):
-        yield batch(waiting)
+    if waiting.num_rows:
+        yield cut(waiting)
 
 
 def stream_chunks(spark: SparkSession, path: str, hdu: int | str = 1, columns: Sequence[str] | None = None, start_row: int = 1, num_rows: int = -1, chunk_rows: int = BATCH, max_chunks: int | None = None, **more) -> Iterator[pa.RecordBatch]:

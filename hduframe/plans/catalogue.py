@@ -6,17 +6,20 @@ results hold the codecs against SQL. Those files are written to the folder that
 
 from __future__ import annotations
 
+import gzip
 import os
 import tempfile
 import uuid
 from collections.abc import Callable, Sequence
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions import predicate, values
-from ..operators import arrays, interop, mutate, reshape, table
+from ..functions import values
+from ..operators import arrays, interop, mutate, reshape, table, unified
 from ..sources.schema import ROW
+from ..streaming import arrivals
 from . import sql
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -39,9 +42,13 @@ def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def _scratch(spark: SparkSession, suffix: str = ".fits") -> str:
-    """A new name in the shared folder, as a local path."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="hduframe-fits-")
-    folder = found.removeprefix("file://").removeprefix("file:").rstrip("/")
+    """A new name in the shared folder, as a path that every machine opens: the source's files are plain files."""
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if not found and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    folder = (found or tempfile.mkdtemp(prefix="hduframe-fits-")).removeprefix("file://").removeprefix("file:").rstrip("/")
+    if "://" in folder:
+        raise ValueError(f"{folder}: FITS files are written to folders that are mounted on every machine")
     os.makedirs(folder, exist_ok=True)
     return f"{folder}/{uuid.uuid4().hex}{suffix}"
 
@@ -60,26 +67,27 @@ def _through_fits(spark: SparkSession, frame: DataFrame, layout: str = "file", w
 # Predicates ------------------------------------------------------------------------------------------------------------
 
 _LINE = "l_orderkey, l_linenumber, l_quantity"
-_PREDICATES: dict[str, tuple[str, str, str]] = {
-    "where_eq": ("lineitem", _LINE, "l_linenumber == 3"),
-    "where_ne": ("lineitem", _LINE, "l_linenumber != 1"),
-    "where_lt": ("lineitem", _LINE, "l_quantity < 5"),
-    "where_le": ("lineitem", _LINE, "l_quantity <= 5"),
-    "where_gt": ("lineitem", _LINE, "l_quantity > 45"),
-    "where_ge": ("lineitem", _LINE, "l_quantity >= 45.5"),
-    "where_and_or_prec": ("lineitem", _LINE, "l_linenumber == 1 OR l_quantity > 40 AND l_discount < 0.02"),
-    "where_parens": ("lineitem", _LINE, "(l_linenumber == 1 OR l_quantity > 40) AND l_discount < 0.02"),
-    "where_not": ("lineitem", _LINE, "NOT (l_quantity > 5) AND NOT l_linenumber == 2"),
-    "where_in": ("orders", "o_orderkey, o_orderstatus", "o_orderkey IN (1, 2, 3, 5, 8, 13, 21, 34)"),
-    "where_not_in": ("nation", "n_nationkey, n_name", "n_regionkey NOT IN (0, 2)"),
-    "where_in_strings": ("orders", "o_orderkey, o_orderstatus", "o_orderstatus IN ('F', \"P\")"),
-    "where_in_empty": ("nation", "n_nationkey, n_name", "n_nationkey NOT IN ()"),
-    "where_between": ("part", "p_partkey, p_size", "p_size BETWEEN 10 AND 12"),
-    "where_not_between": ("part", "p_partkey, p_size", "p_size NOT BETWEEN 5 AND 45"),
-    "where_c_style": ("orders", "o_orderkey, o_totalprice", "o_totalprice > 300000 && ~(o_orderstatus == 'F') || o_orderkey < 10"),
-    "where_single_equals": ("orders", "o_orderkey, o_orderstatus", "o_orderstatus = 'F' AND o_orderkey <> 3"),
-    "where_bareword": ("orders", "o_orderkey, o_orderstatus", "o_orderstatus == F"),
-    "where_quoted_operators": ("nation", "n_nationkey, n_name", "n_name != 'A & B | C'"),
+#: Table, columns, the text, and SQL for it that is written without the parser.
+_PREDICATES: dict[str, tuple[str, str, str, str]] = {
+    "where_eq": ("lineitem", _LINE, "l_linenumber == 3", "l_linenumber = 3"),
+    "where_ne": ("lineitem", _LINE, "l_linenumber != 1", "l_linenumber <> 1"),
+    "where_lt": ("lineitem", _LINE, "l_quantity < 5", "l_quantity < 5"),
+    "where_le": ("lineitem", _LINE, "l_quantity <= 5", "l_quantity <= 5"),
+    "where_gt": ("lineitem", _LINE, "l_quantity > 45", "l_quantity > 45"),
+    "where_ge": ("lineitem", _LINE, "l_quantity >= 45.5", "l_quantity >= 45.5"),
+    "where_and_or_prec": ("lineitem", _LINE, "l_linenumber == 1 OR l_quantity > 40 AND l_discount < 0.02", "l_linenumber = 1 OR (l_quantity > 40 AND l_discount < 0.02::DOUBLE)"),
+    "where_parens": ("lineitem", _LINE, "(l_linenumber == 1 OR l_quantity > 40) AND l_discount < 0.02", "(l_linenumber = 1 AND l_discount < 0.02::DOUBLE) OR (l_quantity > 40 AND l_discount < 0.02::DOUBLE)"),
+    "where_not": ("lineitem", _LINE, "NOT (l_quantity > 5) AND NOT l_linenumber == 2", "l_quantity <= 5 AND l_linenumber <> 2"),
+    "where_in": ("orders", "o_orderkey, o_orderstatus", "o_orderkey IN (1, 2, 3, 5, 8, 13, 21, 34)", "o_orderkey = 1 OR o_orderkey = 2 OR o_orderkey = 3 OR o_orderkey = 5 OR o_orderkey = 8 OR o_orderkey = 13 OR o_orderkey = 21 OR o_orderkey = 34"),
+    "where_not_in": ("nation", "n_nationkey, n_name", "n_regionkey NOT IN (0, 2)", "n_regionkey <> 0 AND n_regionkey <> 2"),
+    "where_in_strings": ("orders", "o_orderkey, o_orderstatus", "o_orderstatus IN ('F', \"P\")", "o_orderstatus = 'F' OR o_orderstatus = 'P'"),
+    "where_in_empty": ("nation", "n_nationkey, n_name", "n_nationkey NOT IN ()", "TRUE"),
+    "where_between": ("part", "p_partkey, p_size", "p_size BETWEEN 10 AND 12", "p_size >= 10 AND p_size <= 12"),
+    "where_not_between": ("part", "p_partkey, p_size", "p_size NOT BETWEEN 5 AND 45", "p_size < 5 OR p_size > 45"),
+    "where_c_style": ("orders", "o_orderkey, o_totalprice", "o_totalprice > 300000 && ~(o_orderstatus == 'F') || o_orderkey < 10", "(o_totalprice > 300000 AND o_orderstatus <> 'F') OR o_orderkey < 10"),
+    "where_single_equals": ("orders", "o_orderkey, o_orderstatus", "o_orderstatus = 'F' AND o_orderkey <> 3", "o_orderstatus = 'F' AND o_orderkey <> 3"),
+    "where_bareword": ("orders", "o_orderkey, o_orderstatus", "o_orderstatus == F", "o_orderstatus = 'F'"),
+    "where_quoted_operators": ("nation", "n_nationkey, n_name", "n_name != 'A & B | C'", "n_name <> 'A & B | C'"),
 }
 
 
@@ -87,9 +95,9 @@ def _predicate_query(name: str, columns: str, text: str) -> Query:
     return lambda spark, d: table.where(_t(spark, d, name), text).select(*columns.split(", "))
 
 
-for _name, (_table, _columns, _text) in _PREDICATES.items():
+for _name, (_table, _columns, _text, _plain_sql) in _PREDICATES.items():
     QUERIES[_name] = _predicate_query(_table, _columns, _text)
-    ORACLE_SQL[_name] = f"SELECT {_columns} FROM {_table} WHERE {predicate.to_sql(predicate.parse(_text))}"
+    ORACLE_SQL[_name] = f"SELECT {_columns} FROM {_table} WHERE {_plain_sql}"
 
 _NULLED = "SELECT l_orderkey, l_linenumber, NULLIF(l_linenumber, 3) AS x FROM lineitem"
 _NANS = "SELECT l_orderkey, l_linenumber, CASE WHEN l_linenumber = 2 THEN 'nan'::DOUBLE WHEN l_linenumber = 4 THEN NULL ELSE l_quantity::DOUBLE END AS x FROM lineitem"
@@ -104,31 +112,31 @@ def _nans(spark: SparkSession, d: str) -> DataFrame:
     return _t(spark, d, "lineitem").select("l_orderkey", "l_linenumber", F.when(n == 2, F.lit(float("nan"))).when(n == 4, F.lit(None)).otherwise(F.col("l_quantity").cast("double")).alias("x"))
 
 
-for _name, _text in {
-    "where_is_null": "x IS NULL",
-    "where_is_not_null": "x IS NOT NULL",
-    "where_not_null": "x NOT NULL",
-    "where_eq_null": "x == NULL",
-    "where_ne_none": "x != none",
-    "where_in_null": "x IN (1, NULL)",
-    "where_not_in_null": "x NOT IN (1, NULL)",
-    "where_not_2vl": "NOT (x > 2)",
-    "where_not_in_2vl": "x NOT IN (1, 2)",
-    "where_not_between_2vl": "x NOT BETWEEN 1 AND 2",
-}.items():
+for _name, _text, _plain_sql in [
+    ("where_is_null", "x IS NULL", "x IS NULL"),
+    ("where_is_not_null", "x IS NOT NULL", "x IS NOT NULL"),
+    ("where_not_null", "x NOT NULL", "x IS NOT NULL"),
+    ("where_eq_null", "x == NULL", "x IS NULL"),
+    ("where_ne_none", "x != none", "x IS NOT NULL"),
+    ("where_in_null", "x IN (1, NULL)", "x = 1 OR x IS NULL"),
+    ("where_not_in_null", "x NOT IN (1, NULL)", "x <> 1 AND x IS NOT NULL"),
+    ("where_not_2vl", "NOT (x > 2)", "x <= 2 OR x IS NULL"),
+    ("where_not_in_2vl", "x NOT IN (1, 2)", "(x <> 1 AND x <> 2) OR x IS NULL"),
+    ("where_not_between_2vl", "x NOT BETWEEN 1 AND 2", "x < 1 OR x > 2 OR x IS NULL"),
+]:
     QUERIES[_name] = lambda spark, d, text=_text: table.where(_nulled(spark, d), text)
-    ORACLE_SQL[_name] = f"SELECT * FROM ({_NULLED}) WHERE {predicate.to_sql(predicate.parse(_text))}"
-
-for _name, _text, _dialect in [
-    ("where_nan_gt", "x > 20", "table"),
-    ("where_nan_ge_not", "NOT x >= 20", "table"),
-    ("where_nan_between", "x NOT BETWEEN 1 AND 20", "table"),
-    ("where_nan_is_null", "x IS NULL", "table"),
-    ("where_nan_frame", "x IS NULL", "frame"),
+    ORACLE_SQL[_name] = f"SELECT * FROM ({_NULLED}) WHERE {_plain_sql}"
+
+for _name, _text, _dialect, _plain_sql in [
+    ("where_nan_gt", "x > 20", "table", "x > 20 AND NOT isnan(x)"),
+    ("where_nan_ge_not", "NOT x >= 20", "table", "x < 20 OR isnan(x) OR x IS NULL"),
+    ("where_nan_between", "x NOT BETWEEN 1 AND 20", "table", "x < 1 OR x > 20 OR isnan(x) OR x IS NULL"),
+    ("where_nan_is_null", "x IS NULL", "table", "x IS NULL"),
+    ("where_nan_frame", "x IS NULL", "frame", "x IS NULL OR isnan(x)"),
 ]:
     # NaN in a result is compared as text: engines print and hash it differently
     QUERIES[_name] = lambda spark, d, text=_text, dialect=_dialect: table.where(_nans(spark, d), text, dialect).select("l_orderkey", "l_linenumber")
-    ORACLE_SQL[_name] = f"SELECT l_orderkey, l_linenumber FROM ({_NANS}) WHERE {predicate.to_sql(predicate.parse(_text), {'x'}, _dialect)}"
+    ORACLE_SQL[_name] = f"SELECT l_orderkey, l_linenumber FROM ({_NANS}) WHERE {_plain_sql}"
 
 
 @_add("scanner_two_filters", "SELECT o_orderkey FROM orders WHERE o_totalprice > 200000 AND o_orderstatus = 'O'")
@@ -157,9 +165,9 @@ def _row_slice_where(spark: SparkSession, d: str) -> DataFrame:
 
 @_add("rows_gather", f"SELECT pos, n_nationkey, n_name FROM (VALUES (0, 7), (1, 3), (2, 7), (3, 0)) AS v(pos, w) JOIN ({_NATION}) ON r = w")
 def _rows_gather(spark: SparkSession, d: str) -> DataFrame:
-    frame = table.take_rows(_nation(spark, d), [7, 3, 7, 0])
-    order = spark.createDataFrame([(0, 7), (1, 3), (2, 7), (3, 0)], "pos int, w long")
-    return frame.distinct().join(F.broadcast(order), F.col(ROW) == F.col("w")).select("pos", "n_nationkey", "n_name")
+    """The positions are those in which the operator gives the rows."""
+    found = table.take_rows(_nation(spark, d), [7, 3, 7, 0]).collect()
+    return spark.createDataFrame([(k, r.n_nationkey, r.n_name) for k, r in enumerate(found)], "pos int, n_nationkey long, n_name string")
 
 
 @_add("head_n", f"SELECT n_nationkey FROM ({_NATION}) WHERE r < 6")
@@ -580,6 +588,192 @@ def _stream_events(spark: SparkSession, d: str) -> DataFrame:
     return spark.createDataFrame([(n, s)], "n long, s long")
 
 
+# Readers, units and interchange ---------------------------------------------------------------------------------------
+
+_SUPPLIER = "SELECT s_suppkey, s_nationkey, row_number() OVER (ORDER BY s_suppkey) - 1 AS r FROM supplier"
+
+
+def _supplier_file(spark: SparkSession, d: str) -> str:
+    path = _scratch(spark)
+    frame = _numbered(_t(spark, d, "supplier").select("s_suppkey", F.col("s_nationkey").cast("long").alias("s_nationkey")), "s_suppkey")
+    interop.write_table(frame, path, extname="SUPPLIERS")
+    return path
+
+
+def _batch_sums(spark: SparkSession, batches) -> DataFrame:
+    return spark.createDataFrame([(k, b.num_rows, sum(b.column("s_suppkey").to_pylist())) for k, b in enumerate(batches)], "k long, n long, s long")
+
+
+_SUMS = f"SELECT r // 40 AS k, count(*) AS n, sum(s_suppkey)::BIGINT AS s FROM ({_SUPPLIER}) GROUP BY 1"
+
+
+@_add("scan_batches", _SUMS)
+def _scan_batches(spark: SparkSession, d: str) -> DataFrame:
+    return _batch_sums(spark, table.scan(spark, _supplier_file(spark, d), batch_size=40))
+
+
+@_add("record_batch_reader", f"SELECT count(*) AS n, sum(s_suppkey)::BIGINT AS s FROM ({_SUPPLIER})")
+def _batch_reader(spark: SparkSession, d: str) -> DataFrame:
+    got = table.reader(spark, _supplier_file(spark, d)).read_all()
+    return spark.createDataFrame([(got.num_rows, sum(got["s_suppkey"].to_pylist()))], "n long, s long")
+
+
+@_add("read_bounded_total", f"SELECT count(*) AS n, sum(s_suppkey)::BIGINT AS s, TRUE AS cut FROM ({_SUPPLIER})")
+def _read_bounded(spark: SparkSession, d: str) -> DataFrame:
+    """Budgets of 160 bytes: ten rows a chunk."""
+    got = list(table.read_bounded(spark, _supplier_file(spark, d), max_memory_mb=160 / (1 << 20)))
+    total = sum(b.num_rows for b in got)
+    return spark.createDataFrame([(total, sum(sum(b.column("s_suppkey").to_pylist()) for b in got), max(b.num_rows for b in got) <= 10)], "n long, s long, cut boolean")
+
+
+@_add("read_rows_window", f"SELECT s_suppkey FROM ({_SUPPLIER}) WHERE r >= 4 AND r < 11")
+def _read_rows(spark: SparkSession, d: str) -> DataFrame:
+    return table.read_rows(spark, _supplier_file(spark, d), start_row=5, num_rows=7, columns=["s_suppkey"])
+
+
+@_add("rows_where", f"SELECT s_suppkey FROM (VALUES (9), (2), (9), (5)) AS v(w) JOIN ({_SUPPLIER}) ON r = w WHERE s_suppkey > 4")
+def _rows_where(spark: SparkSession, d: str) -> DataFrame:
+    return table.read(spark, _supplier_file(spark, d), columns=["s_suppkey"], rows=[9, 2, 9, 5], where="s_suppkey > 4")
+
+
+@_add("schema_only", "SELECT * FROM (VALUES ('s_suppkey', 'bigint', 'K'), ('s_nationkey', 'bigint', 'K')) AS v(name, kind, form)")
+def _schema_only(spark: SparkSession, d: str) -> DataFrame:
+    found = table.schema(_supplier_file(spark, d))
+    return spark.createDataFrame([(f.name, f.dataType.simpleString(), f.metadata["fits_tform"].lstrip("1")) for f in found], "name string, kind string, form string")
+
+
+@_add("unit_by_name", f"SELECT count(*) AS n, 1 AS hdu FROM ({_SUPPLIER})")
+def _unit_by_name(spark: SparkSession, d: str) -> DataFrame:
+    path = _supplier_file(spark, d)
+    return table.read(spark, path, "SUPPLIERS").agg(F.count(F.lit(1)).alias("n")).withColumn("hdu", F.lit(table.table_info(path)["hdu"]))
+
+
+@_add("filter_pushdown", f"SELECT s_suppkey, s_nationkey FROM ({_SUPPLIER}) WHERE s_suppkey > 7 AND s_nationkey IN (1, 3, 5, 7, 11)")
+def _filter_pushdown(spark: SparkSession, d: str) -> DataFrame:
+    return table.read(spark, _supplier_file(spark, d)).where("s_suppkey > 7 AND s_nationkey IN (1, 3, 5, 7, 11)")
+
+
+@_add("sql_on_fits_pruned", f"SELECT s_nationkey, count(*) AS n FROM ({_SUPPLIER}) WHERE s_nationkey >= 3 GROUP BY s_nationkey")
+def _sql_pruned(spark: SparkSession, d: str) -> DataFrame:
+    return sql.query(spark, _supplier_file(spark, d), "SELECT s_nationkey, count(*) AS n FROM fits_table WHERE s_nationkey >= 3 GROUP BY s_nationkey")
+
+
+@_add("sql_anti_some", "SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_totalprice > 300000)")
+def _sql_anti_some(spark: SparkSession, d: str) -> DataFrame:
+    return _join_query(ORACLE_SQL["sql_anti_some"])(spark, d)
+
+
+@_add("iter_rows_sums", _SUMS)
+def _iter_rows(spark: SparkSession, d: str) -> DataFrame:
+    rows = reshape.iter_rows(table.read(spark, _supplier_file(spark, d), columns=["s_suppkey"]), 40)
+    return spark.createDataFrame([(k, len(b["s_suppkey"]), sum(b["s_suppkey"])) for k, b in enumerate(rows)], "k long, n long, s long")
+
+
+@_add("parquet_round_trip", f"SELECT s_suppkey, s_nationkey FROM ({_SUPPLIER}) WHERE s_nationkey = 3")
+def _write_parquet(spark: SparkSession, d: str) -> DataFrame:
+    path = _scratch(spark, ".parquet")
+    interop.write_parquet(table.read(spark, _supplier_file(spark, d)), f"file:{path}")
+    return table.read(spark, f"file:{path}", columns=["s_suppkey", "s_nationkey"], where="s_nationkey == 3")
+
+
+@_add("drop_column_on_file", f"SELECT s_suppkey FROM ({_SUPPLIER})")
+def _drop_on_file(spark: SparkSession, d: str) -> DataFrame:
+    return mutate.drop_columns_file(spark, _supplier_file(spark, d), ["s_nationkey"])
+
+
+@_add("units_changed", "SELECT * FROM (VALUES (0, 'IMAGE', ''), (1, 'IMAGE', 'NEW'), (2, 'BINTABLE', 'SUPPLIERS')) AS v(hdu, type, extname)")
+def _units_changed(spark: SparkSession, d: str) -> DataFrame:
+    """A unit put in twice, replaced once and deleted once."""
+    path, pixels = _supplier_file(spark, d), np.arange(6, dtype=np.int16).reshape(2, 3)
+    mutate.insert_hdu(path, pixels, 1, extname="OLD")
+    mutate.insert_hdu(path, pixels, 1, extname="GONE")
+    mutate.delete_hdu(path, 1)
+    mutate.replace_hdu(path, pixels * 2, 1, extname="NEW")
+    return arrays.catalog(spark, path).select("hdu", "type", F.coalesce("extname", F.lit("")).alias("extname"))
+
+
+@_add("pandas_round_trip", f"SELECT s_suppkey, s_nationkey FROM ({_SUPPLIER})")
+def _pandas(spark: SparkSession, d: str) -> DataFrame:
+    return interop.frame_from(spark, interop.to_pandas(table.read(spark, _supplier_file(spark, d))))
+
+
+@_add("arrays_round_trip", f"SELECT s_suppkey, s_nationkey FROM ({_SUPPLIER})")
+def _arrays(spark: SparkSession, d: str) -> DataFrame:
+    """Columns as arrays, then as Arrow, then as a DataFrame."""
+    return interop.frame_from(spark, interop.arrays_to_arrow(interop.to_arrays(table.read(spark, _supplier_file(spark, d)))))
+
+
+@_add("many_units", "SELECT hdu, sum(value) AS s FROM (SELECT 0 AS hdu, unnest(range(12))::DOUBLE AS value UNION ALL SELECT 1, unnest(range(12)) * 2.0::DOUBLE) GROUP BY hdu")
+def _many_units(spark: SparkSession, d: str) -> DataFrame:
+    """Two images of one file; a file that isn't there is passed over."""
+    path, pixels = _scratch(spark), np.arange(12, dtype=np.int32).reshape(3, 4)
+    arrays.write_units(path, [pixels, pixels * 2])
+    found = arrays.tiles(spark, [path, _scratch(spark)], hdus=[0, 1], strict=False)
+    return found.select("hdu", F.explode("pixels").alias("value")).groupBy("hdu").agg(F.sum("value").alias("s"))
+
+
+_BOX = "SELECT sum(v)::DOUBLE AS s FROM (SELECT unnest(range(40)) AS v) WHERE v // 8 IN (2, 3) AND v % 8 IN (1, 2)"
+
+
+@_add("image_sections", f"SELECT how, s FROM (SELECT unnest(['cutout', 'reader', 'lazy', 'section']) AS how), ({_BOX}) UNION ALL SELECT 'gzip', sum(v)::DOUBLE FROM (SELECT unnest(range(40)) AS v)")
+def _image_sections(spark: SparkSession, d: str) -> DataFrame:
+    """Columns 1 and 2 of lines 2 and 3 of the numbers 0 to 39 in lines of 8, read in each way."""
+    path, pixels = _scratch(spark), np.arange(40, dtype=np.int32).reshape(5, 8)
+    arrays.write_image(path, pixels)
+    with open(path, "rb") as plain, gzip.open(f"{path}.gz", "wb") as packed:
+        packed.write(plain.read())
+    with arrays.SubsetReader(path) as some:
+        found = {"cutout": arrays.cutout(path, 0, 1, 2, 3, 4), "reader": some(1, 2, 3, 4), "lazy": arrays.LazyImage(path)[2:4, 1:3], "section": arrays.read_image(f"{path}[0][2:3,3:4]"), "gzip": arrays.read_image(f"{path}.gz")}
+    found = {k: float(v.sum()) for k, v in found.items()}
+    return spark.createDataFrame(list(found.items()), "how string, s double")
+
+
+@_add("image_types", "SELECT unnest(['uint8', 'int16', 'int32', 'int64', 'float32', 'float64', 'uint16', 'uint32']) AS kind, 66.0::DOUBLE AS s")
+def _image_types(spark: SparkSession, d: str) -> DataFrame:
+    out = []
+    for kind in ("uint8", "int16", "int32", "int64", "float32", "float64", "uint16", "uint32"):
+        path = _scratch(spark)
+        arrays.write_image(path, np.arange(12, dtype=kind).reshape(3, 4))
+        got = arrays.read_image(path)
+        out.append((str(got.dtype), float(got.sum())))
+    return spark.createDataFrame(out, "kind string, s double")
+
+
+@_add("header_cards", "SELECT * FROM (VALUES ('OBSERVER', 'A. Person'), ('EXPTIME', '12.5'), ('NSTEP', '7')) AS v(key, value)")
+def _header_cards(spark: SparkSession, d: str) -> DataFrame:
+    path = _scratch(spark)
+    interop.write_table(_t(spark, d, "nation").select("n_nationkey"), path, header={"OBSERVER": "A. Person", "EXPTIME": 12.5, "NSTEP": 7})
+    return arrays.headers(spark, path).where("hdu = 1 AND key IN ('OBSERVER', 'EXPTIME', 'NSTEP')").select("key", "value")
+
+
+@_add("unified_read", f"SELECT * FROM (VALUES ('table', (SELECT count(*) FROM supplier)), ('image', 12)) AS v(kind, n)")
+def _unified_read(spark: SparkSession, d: str) -> DataFrame:
+    """One function for tables and images."""
+    image = _scratch(spark)
+    arrays.write_image(image, np.arange(12, dtype=np.int16).reshape(3, 4))
+    tables = unified.read(spark, _supplier_file(spark, d)).agg(F.lit("table").alias("kind"), F.count(F.lit(1)).alias("n"))
+    return tables.unionByName(unified.read(spark, image).agg(F.lit("image").alias("kind"), F.sum(F.size("pixels")).alias("n")))
+
+
+@_add("validated", "SELECT * FROM (VALUES ('whole', TRUE), ('cut', FALSE)) AS v(name, valid)")
+def _validated(spark: SparkSession, d: str) -> DataFrame:
+    path = _supplier_file(spark, d)
+    cut = f"{path}.cut"
+    with open(path, "rb") as whole, open(cut, "wb") as out:
+        out.write(whole.read()[:-2880])
+    return spark.createDataFrame([("whole", not unified.validate(path)), ("cut", not unified.validate(cut))], "name string, valid boolean")
+
+
+@_add("stream_of_files", f"SELECT s_suppkey, s_nationkey FROM ({_SUPPLIER}) WHERE s_nationkey <> 4")
+def _stream_of_files(spark: SparkSession, d: str) -> DataFrame:
+    """Suppliers in files of a folder, read as a stream until all are there."""
+    folder, out = _scratch(spark, ""), _scratch(spark, "")
+    interop.write_table(_t(spark, d, "supplier").select("s_suppkey", F.col("s_nationkey").cast("long").alias("s_nationkey")).repartition(3, "s_suppkey"), folder, layout="folder")
+    rows = arrivals.read_stream(spark, folder, where="s_nationkey != 4")
+    rows.writeStream.format("parquet").option("checkpointLocation", f"file:{out}.state").trigger(availableNow=True).start(f"file:{out}").awaitTermination()
+    return spark.read.parquet(f"file:{out}")
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A predicate over a table that went through FITS."""
     return _fits_where(spark, sf_dir)

@@ -1,7 +1,8 @@
 """The Spark data source ``hdu``: FITS tables and images, read, written and streamed.
 
 Options for reading: ``hdu`` (number, name or auto), ``columns`` (JSON list), ``where`` (text; its columns are decoded first, and
-the others only of rows that pass), ``start`` and ``stop`` (rows), ``row`` (true: the row number as ``__row``), ``chunk_rows``,
+the others only of rows that pass), ``filters`` (JSON list of column, comparison and value, as ``where``; rows that aren't sure to
+fail may stay), ``start`` and ``stop`` (rows), ``row`` (true: the row number as ``__row``), ``chunk_rows``,
 ``nulls``, ``encoding``, ``mode`` (PERMISSIVE skips files that can't be read), ``as`` (table, tiles, catalog, headers). A path may
 be a file, a folder or a pattern; options ``paths`` (JSON list) names several.
 """
@@ -17,9 +18,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import types as T
-from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, DataSourceStreamReader, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, InputPartition, LessThan, LessThanOrEqual, WriterCommitMessage
+from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, DataSourceStreamReader, InputPartition, WriterCommitMessage
 
 from ..functions import predicate
 from . import bintable, images, layout
@@ -88,6 +90,7 @@ class Settings:
         self.encoding = options.get("encoding", "ascii")
         self.names = json.loads(options["columns"]) if options.get("columns") else None
         self.where = predicate.parse(options["where"]) if options.get("where") else None
+        self.filters = [tuple(f) for f in json.loads(options.get("filters", "[]"))]
         self.start, self.stop = int(options.get("start", 0)), int(options["stop"]) if "stop" in options else None
         self.chunk = int(options.get("chunk_rows", CHUNK_ROWS))
         hdu = options.get("hdu", "auto")
@@ -120,6 +123,17 @@ class Settings:
         return struct(self.chosen(self.first()), self.row)
 
 
+_COMPARE = {"=": pc.equal, ">": pc.greater, ">=": pc.greater_equal, "<": pc.less, "<=": pc.less_equal}
+
+
+def may_pass(column: pa.Array, comparison: str, value) -> pa.Array:
+    """False only where the comparison surely isn't true. NaN, which Spark compares in its own way, may pass."""
+    passed = pc.is_in(column, pa.array(value, column.type)) if comparison == "in" else _COMPARE[comparison](column, pa.scalar(value, column.type))
+    if pa.types.is_floating(column.type):
+        passed = pc.or_kleene(passed, pc.is_nan(column))
+    return pc.fill_null(passed, False)
+
+
 def decode_rows(path: str, unit: HDU, specs: list[ColumnSpec], start: int, stop: int, settings: Settings, lower: int = 0) -> Iterator[pa.RecordBatch]:
     """Batches of the chosen columns; with a predicate, its columns are decoded first and the others for rows that pass."""
     stride, total = int(unit.header["NAXIS1"]), int(unit.header["NAXIS2"])
@@ -144,8 +158,15 @@ def decode_rows(path: str, unit: HDU, specs: list[ColumnSpec], start: int, stop:
             rows = np.frombuffer(file.read(n * stride), np.uint8).reshape(n, stride)
             numbers = np.arange(at, at + n, dtype=np.int64)
             done: dict[str, pa.Array] = {}
+            for name, comparison, value in settings.filters:
+                done[name] = done[name] if name in done else column(everything[name], rows)
+                mask = may_pass(done[name], comparison, value)
+                if not pc.all(mask).as_py():
+                    keep = np.asarray(mask)
+                    rows, numbers = rows[keep], numbers[keep]
+                    done = {k: v.filter(mask) for k, v in done.items()}
             if settings.where:
-                done = {name: pa.array(numbers) if name == ROW and ROW not in everything else column(everything[name], rows) for name in wanted}
+                done |= {name: pa.array(numbers) if name == ROW and ROW not in everything else column(everything[name], rows) for name in wanted if name not in done}
                 mask = np.asarray(predicate.arrow_mask(settings.where, done))
                 if not mask.all():
                     rows, numbers = rows[mask], numbers[mask]
@@ -158,9 +179,11 @@ def decode_rows(path: str, unit: HDU, specs: list[ColumnSpec], start: int, stop:
 
 
 class TableReader(DataSourceReader):
+    """Takes no filters from the session: Spark keeps those of all scans of a DataFrame in one place, so that a table joined with
+    itself would lose rows. Options name the rows and conditions instead."""
+
     def __init__(self, settings: Settings) -> None:
         self.settings = settings
-        self.low, self.high = 0, None
 
     def partitions(self) -> list[InputPartition]:
         out: list[InputPartition] = []
@@ -172,8 +195,8 @@ class TableReader(DataSourceReader):
                     continue
                 raise
             total = int(unit.header["NAXIS2"])
-            start = max(self.settings.start, self.low)
-            stop = min(x for x in (total, self.settings.stop, self.high) if x is not None)
+            start = self.settings.start
+            stop = total if self.settings.stop is None else min(total, self.settings.stop)
             size = PARTITION_BYTES // max(1, int(unit.header["NAXIS1"])) or 1
             if "partition_rows" in self.settings.options:
                 size = int(self.settings.options["partition_rows"])
@@ -188,22 +211,6 @@ class TableReader(DataSourceReader):
             yield from decode_rows(partition.path, unit, self.settings.chosen(unit), partition.start, partition.stop, self.settings)
 
 
-class FilteringReader(TableReader):
-    """Where the session lets filters reach Python sources: those on the row number leave partitions out. All are applied again."""
-
-    def pushFilters(self, filters: list[Filter]) -> Iterator[Filter]:
-        for f in filters:
-            if getattr(f, "attribute", None) == (ROW,):
-                if isinstance(f, EqualTo | GreaterThanOrEqual):
-                    self.low = max(self.low, int(f.value))
-                if isinstance(f, GreaterThan):
-                    self.low = max(self.low, int(f.value) + 1)
-                top = int(f.value) + isinstance(f, EqualTo | LessThanOrEqual) if isinstance(f, EqualTo | LessThan | LessThanOrEqual) else None
-                if top is not None:
-                    self.high = top if self.high is None else min(self.high, top)
-            yield f
-
-
 class TileReader(DataSourceReader):
     """Rows of pixels in tiles; the tiles of a compressed image are its own."""
 
@@ -226,14 +233,25 @@ class TileReader(DataSourceReader):
                 out += [Rows(path, unit.number, k, min(k + step, count), stamp(path)) for k in range(0, count, step)]
         return out or [Rows("", 0, 0, 0, (0, 0))]
 
-    def read(self, partition: Rows) -> Iterator[tuple]:
+    def read(self, partition: Rows) -> Iterator[pa.RecordBatch]:
+        """A batch for each tile, whose pixels go from NumPy to Arrow whole."""
         if partition.stop <= partition.start:
             return
         partition.check()
         unit = find(partition.path, partition.hdu)
+        longs = pa.list_(pa.int64())
         for tile in range(partition.start, partition.stop):
             origin, pixels = images.read_tile(partition.path, unit, tile)
-            yield partition.path, unit.number, tile, [int(o) for o in origin], [int(n) for n in pixels.shape], pixels.astype(np.float64).reshape(-1).tolist()
+            values = pa.array(np.ascontiguousarray(pixels, np.float64).reshape(-1), from_pandas=False)
+            columns_ = [
+                pa.array([partition.path]),
+                pa.array([unit.number], pa.int32()),
+                pa.array([tile], pa.int64()),
+                pa.array([[int(o) for o in origin]], longs),
+                pa.array([[int(n) for n in pixels.shape]], longs),
+                pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values),
+            ]
+            yield pa.RecordBatch.from_arrays(columns_, names=TILES.names)
 
 
 class FileReader(DataSourceReader):
@@ -274,8 +292,8 @@ class Part(WriterCommitMessage):
 
 class TableWriter(DataSourceArrowWriter):
     """Tasks write rows and heaps into files beside the target. ``layout=file``: commit joins them, ordered by the first
-    ``__row`` or the partition, and moves the descriptors of variable-length arrays; ``layout=folder``: each becomes a FITS file
-    of its own in a folder, and nothing passes through the driver."""
+    ``__row`` or the partition, and moves the descriptors of variable-length arrays; ``layout=folder``: each task makes a whole FITS
+    file of them, and commit gives the files their names."""
 
     def __init__(self, options: dict, schema: T.StructType, overwrite: bool) -> None:
         self.options, self.overwrite = dict(options), overwrite
@@ -315,7 +333,13 @@ class TableWriter(DataSourceArrowWriter):
                 heap.write(more)
                 rows += batch.num_rows
                 heap_used += len(more)
-        return Part(name, context.partitionId() if order is None else order, rows, rows * sum(s.width for s in self.specs), heap_used)
+        part = Part(name, context.partitionId() if order is None else order, rows, rows * sum(s.width for s in self.specs), heap_used)
+        if self.folder:
+            with open(f"{name}.fits", "wb") as out:
+                self._unit(out, [part])
+            for suffix in ("rows", "heap"):
+                os.remove(f"{name}.{suffix}")
+        return part
 
     def _unit(self, out, parts: list[Part]) -> None:
         rows, heap = sum(p.rows for p in parts), sum(p.heap_bytes for p in parts)
@@ -353,9 +377,8 @@ class TableWriter(DataSourceArrowWriter):
         if self.folder:
             ready = f"{self.work}.ready"
             os.makedirs(ready)
-            for k, part in enumerate(p for p in parts if p.rows or len(parts) == 1):
-                with open(f"{ready}/part-{k:06d}.fits", "wb") as out:
-                    self._unit(out, [part])
+            for k, part in enumerate([p for p in parts if p.rows] or parts[:1]):
+                os.replace(f"{part.path}.fits", f"{ready}/part-{k:06d}.fits")
             if os.path.isdir(self.target):
                 shutil.rmtree(self.target)
             os.replace(ready, self.target)
@@ -370,27 +393,45 @@ class TableWriter(DataSourceArrowWriter):
 
 
 class FileArrivals(DataSourceStreamReader):
-    """A folder's files as a stream: each file is read once, in order of its change; the offset is the last one's mark."""
+    """A folder's files as a stream: each file is read once, whatever its time of change. A log beside the files (option ``log``,
+    else the folder ``_arrivals`` there) has a list of new files for each step; an offset is the number of steps, so that a restarted
+    query, or another one, finds the same files in the same order."""
 
     def __init__(self, settings: Settings) -> None:
         self.settings = settings
+        self.log = settings.options.get("log") or os.path.join(check_name(settings.options["path"]), "_arrivals")
 
-    def _marks(self) -> list[tuple[int, str]]:
-        found = []
-        for path in list_files(self.settings.options):
-            if os.path.isfile(path):
-                found.append((os.stat(path).st_mtime_ns, path))
-        return sorted(found)
+    def _steps(self) -> list[list[str]]:
+        names = sorted(n for n in os.listdir(self.log) if n.endswith(".json")) if os.path.isdir(self.log) else []
+        out = []
+        for name in names:
+            with open(os.path.join(self.log, name), encoding="utf-8") as file:
+                out.append(json.load(file))
+        return out
 
     def initialOffset(self) -> dict:
-        return {"time": -1, "path": ""}
+        return {"steps": 0}
 
     def latestOffset(self) -> dict:
-        marks = self._marks()
-        return {"time": marks[-1][0], "path": marks[-1][1]} if marks else self.initialOffset()
+        while True:
+            steps = self._steps()
+            seen = {p for step in steps for p in step}
+            new = sorted(p for p in list_files(self.settings.options) if os.path.isfile(p) and p not in seen)
+            if not new:
+                return {"steps": len(steps)}
+            os.makedirs(self.log, exist_ok=True)
+            draft = os.path.join(self.log, f".{uuid.uuid4().hex}")
+            with open(draft, "w", encoding="utf-8") as file:
+                json.dump(new, file)
+            try:
+                os.link(draft, os.path.join(self.log, f"{len(steps):09d}.json"))  # fails where another query was faster
+            except FileExistsError:
+                continue
+            finally:
+                os.remove(draft)
 
     def partitions(self, start: dict, end: dict) -> list[InputPartition]:
-        new = [p for m in self._marks() if (start["time"], start["path"]) < m <= (end["time"], end["path"]) for p in [m[1]]]
+        new = [p for step in self._steps()[start["steps"] : end["steps"]] for p in step]
         return [part for p in new for part in TableReader(Settings(self.settings.options | {"paths": json.dumps([p])})).partitions() if part.path]
 
     def read(self, partition: Rows) -> Iterator[pa.RecordBatch]:
@@ -414,7 +455,7 @@ class HduSource(DataSource):
             return TileReader(settings)
         if kind in ("catalog", "headers"):
             return FileReader(settings, kind == "headers")
-        return FilteringReader(settings) if self.options.get("pushdown") == "true" else TableReader(settings)
+        return TableReader(settings)
 
     def writer(self, schema: T.StructType, overwrite: bool) -> DataSourceArrowWriter:
         return TableWriter(self.options, schema, overwrite)

@@ -9,8 +9,9 @@ import struct
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
-from hduframe.operators import arrays, interop, mutate, reshape, table
+from hduframe.operators import arrays, interop, mutate, reshape, table, unified
 from hduframe.plans import sql
 from hduframe.sources import checksum, codecs, layout
 from hduframe.sources.header import Card, Header, format_card, index, parse_card
@@ -113,7 +114,7 @@ def test_rows(spark, star):
 
 def test_window_prunes_partitions(spark, star):
     table.register(spark)
-    frame = spark.read.format("hdu").options(row="true", pushdown="true", partition_rows="100").load(star).where("__row >= 250 AND __row < 310")
+    frame = spark.read.format("hdu").options(row="true", partition_rows="100", start="250", stop="310").load(star)
     assert frame.count() == 60 and frame.rdd.getNumPartitions() == 1
 
 
@@ -307,11 +308,104 @@ def test_reshape(spark):
 def test_sql_guard(spark, star):
     assert sql.query(spark, star, "SELECT count(*) AS n FROM fits_table WHERE id < 10").first().n == 10
     assert sql.query(spark, star, "EXPLAIN SELECT 1").count() == 1
-    for text in ("DROP TABLE fits_table", "SELECT 1; SELECT 2", "INSERT INTO fits_table VALUES (1)", "SHOW TABLES", "CREATE TABLE x AS SELECT 1", "SET a = 1", ""):
+    spark.range(2).createOrReplaceTempView("u")
+    allowed = [
+        "WITH a AS (SELECT 1 AS x) SELECT * FROM a JOIN (SELECT 1 AS x UNION SELECT 2) USING (x)",
+        "SELECT id, (SELECT max(id) FROM u) AS m FROM fits_table WHERE id IN (SELECT id FROM u) AND EXISTS (SELECT 1 FROM u) ORDER BY id LIMIT 3",
+        "SELECT id % 2 AS k, count(*) FROM fits_table GROUP BY ROLLUP (id % 2) HAVING count(*) > 1",
+        "SELECT * FROM VALUES (1, 2) AS t(a, b) LATERAL VIEW explode(array(a, b)) AS c",
+        "SELECT /*+ BROADCAST(u) */ sum(id) OVER w FROM u WINDOW w AS (ORDER BY id)",
+        "SELECT * FROM range(3) PIVOT (count(*) FOR id IN (1, 2))",
+        "FROM u |> WHERE id > 0 |> SELECT id",
+    ]
+    for text in allowed:
+        sql.query(spark, star, text).collect()
+    for text in (
+        "WITH a AS (SELECT 1 AS x) INSERT INTO t SELECT * FROM a",
+        "FROM u INSERT INTO t SELECT id INSERT INTO v SELECT id",
+        "EXPLAIN INSERT INTO t SELECT 1",
+        "INSERT OVERWRITE DIRECTORY '/tmp/x' USING parquet SELECT 1",
+        "DELETE FROM u",
+        "MERGE INTO u USING fits_table f ON u.id = f.id WHEN MATCHED THEN DELETE",
+        "CACHE TABLE u",
+        "ADD JAR 'x.jar'",
+        "DROP TABLE fits_table", "SELECT 1; SELECT 2", "INSERT INTO fits_table VALUES (1)", "SHOW TABLES", "CREATE TABLE x AS SELECT 1", "SET a = 1", ""
+    ):
         with pytest.raises(ValueError):
             sql.query(spark, star, text)
 
 
+def test_sql_reads_only_what_it_needs(spark, star):
+    def scanned(text):
+        result = sql.query(spark, star, text)
+        result.collect()
+        plan = result._jdf.queryExecution().optimizedPlan()
+        leaves = plan.collectLeaves()
+        return {a.name() for k in range(leaves.size()) for a in (leaves.apply(k).output().apply(i) for i in range(leaves.apply(k).output().size()))}
+
+    known = set(table.read(spark, star).columns)
+    assert len(known) > 2
+    assert scanned("SELECT name FROM fits_table WHERE id < 5") <= {"name", "id", ROW} and "name" in scanned("SELECT name FROM fits_table WHERE id < 5")
+    assert scanned("SELECT count(*) FROM fits_table WHERE id > 3") <= {"id", ROW}
+    assert scanned("SELECT * FROM fits_table") >= known
+    got = sql.query(spark, star, "SELECT a.id FROM fits_table a JOIN fits_table b ON a.id = b.id + 1 WHERE b.name = 's0003'").collect()
+    assert [r.id for r in got] == [4]
+    assert sql.query(spark, star, "SELECT name FROM fits_table WHERE id IN (SELECT max(id) FROM fits_table)").count() == 1
+
+
+def test_filters_keep_what_spark_keeps(spark, tmp_path):
+    rows = [(k, float("nan") if k % 5 == 0 else None if k % 7 == 0 else k / 2, f"t{k % 3}" if k % 4 else None) for k in range(60)]
+    frame = spark.createDataFrame(rows, "k long, x double, t string")
+    interop.write_table(frame, str(tmp_path / "a.fits"))
+    for text in ("x > 10", "x <= 10", "x = 7", "k IN (1, 5, 70)", "t = 't1' AND x >= 3", "NOT x > 4", "x IS NULL", "t IN ('t0', 't2') AND k < 30", "x <> 3"):
+        read = table.read(spark, str(tmp_path / "a.fits"))
+        want = sorted(r.k for r in spark.createDataFrame(read.collect(), read.schema).where(text).collect())
+        assert sorted(r.k for r in read.where(text).collect()) == want, text
+        assert sorted(r.k for r in sql.query(spark, str(tmp_path / "a.fits"), f"SELECT k FROM fits_table WHERE {text}").collect()) == want, text
+    plan = sql.query(spark, str(tmp_path / "a.fits"), "SELECT t FROM fits_table WHERE k >= 7 AND 9 > k AND x > 1")._jdf.queryExecution().optimizedPlan()
+    assert sorted(sql._comparisons(plan, ["k", "x", "t"])) == [("k", "<", 9), ("k", ">=", 7), ("x", ">", 1.0)]
+
+
+def test_one_frame_with_two_filters(spark, star):
+    """Rows that one use of a DataFrame leaves out are there for the other."""
+    frame = table.read(spark, star, with_row=True)
+    assert frame.where(F.col(ROW) < 10).unionByName(frame.where(F.col(ROW) >= 5)).count() == 1005
+    frame.createOrReplaceTempView("twice")
+    assert [r.id for r in spark.sql("SELECT a.id FROM twice a JOIN twice b ON a.id = b.id + 1 WHERE b.id = 3").collect()] == [4]
+
+
+def test_folder_commit_moves_no_rows(spark, tmp_path, monkeypatch):
+    from hduframe.sources import fits_source
+
+    frame = spark.range(100).repartition(4)
+    schema = frame.schema
+    writer = fits_source.TableWriter({"path": str(tmp_path / "out"), "layout": "folder"}, schema, True)
+    os.makedirs(writer.work)
+    for k in range(2):  # what tasks leave
+        with open(f"{writer.work}/{k:06d}-{k}.fits", "wb") as file:
+            file.write(b"x")
+    monkeypatch.setattr(fits_source.TableWriter, "_unit", None)
+    writer.commit([fits_source.Part(f"{writer.work}/{k:06d}-{k}", k, 50, 400, 0) for k in (1, 0)])
+    assert sorted(os.listdir(tmp_path / "out")) == ["part-000000.fits", "part-000001.fits"]
+    monkeypatch.undo()
+    interop.write_table(frame, str(tmp_path / "whole"), layout="folder")
+    assert sorted(r.id for r in table.read(spark, str(tmp_path / "whole")).collect()) == list(range(100))
+
+
+def test_unified_read_and_validate(spark, star, tmp_path):
+    path = str(tmp_path / "i.fits")
+    arrays.write_image(path, np.arange(12, dtype=np.int16).reshape(3, 4))
+    assert unified.read(spark, [path, path]).count() == 2 and unified.read(spark, star).count() == table.num_rows(star)
+    assert unified.read(spark, path, mode="image").columns[0] == "path" and not unified.validate(star) and not unified.validate(path)
+    with pytest.raises(ValueError):
+        unified.read(spark, path, mode="both")
+    with open(path, "rb") as file:
+        whole = file.read()
+    with open(path, "wb") as file:
+        file.write(whole[:2880])
+    assert unified.validate(path)
+
+
 def test_interop(spark, star, tmp_path):
     data = {"a": np.array([1, 2]), "z": np.array([1 + 2j, 3j], np.complex64), "t": np.frombuffer(b"ab  cd  ", np.uint8).reshape(2, 4), "v": [[1], [2, 3]]}
     assert interop.arrays_to_arrow(data, decode_bytes=True)["t"].to_pylist() == ["ab", "cd"]
@@ -332,6 +426,7 @@ def test_arrivals(spark, tmp_path):
     query = arrivals.read_stream(spark, str(folder), where="id != 3").writeStream.format("memory").queryName("arrived").start()
     query.processAllAvailable()
     write("b.fits", 10)
+    os.utime(folder / "b.fits", (1, 1))  # older than the first
     query.processAllAvailable()
     query.stop()
     assert sorted(r.id for r in spark.table("arrived").collect()) == [0, 1, 2, 4, 10, 11, 12, 13, 14]
