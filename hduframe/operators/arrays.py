@@ -146,16 +146,22 @@ def stats(tiles_: DataFrame) -> DataFrame:
     return parts.groupBy("path", "hdu").agg(F.sum("count").alias("pixels"), F.sum("nan").alias("nans"), F.min("low").alias("min"), F.max("high").alias("max"), mean.alias("mean"), F.sqrt(F.greatest(spread, F.lit(0.0)) / total).alias("stddev"))
 
 
+#: Rows of boxes and bands that are broadcast, at most.
+SMALL = 100_000
+
+
 def cutouts(tiles_: DataFrame, boxes: DataFrame, cell: int = 256) -> DataFrame:
-    """Many cutouts at once: ``boxes`` has id, x1, y1, x2, y2 (0-based, ends excluded). Rows (id, y, x, value) of two-axis images.
-    The overlap of boxes and tiles becomes a join on bands of ``cell`` rows."""
-    top, rows, wide = F.col("origin")[0], F.col("shape")[0], F.col("shape")[1]
-    left = tiles_.withColumn("band", F.explode(F.sequence((top / cell).cast("long"), ((top + rows - 1) / cell).cast("long"))))
-    right = boxes.where("y2 > y1 AND x2 > x1").withColumn("band", F.explode(F.sequence((F.greatest("y1", F.lit(0)) / cell).cast("long"), ((F.col("y2") - 1) / cell).cast("long"))))
-    met = left.join(right, "band")
+    """Many cutouts at once: ``boxes`` has id, x1, y1, x2, y2 (0-based, ends excluded), and path and hdu where a box is about one
+    image only. Rows (id, y, x, value) of two-axis images. The overlap of boxes and tiles becomes a join on bands of ``cell`` rows,
+    and on the image where boxes name it; up to ``SMALL`` boxes are broadcast, so that no pixels are shuffled."""
+    top, rows, x0, wide = F.col("origin")[0], F.col("shape")[0], F.col("origin")[1], F.col("shape")[1]
+    bands = lambda first, last: F.explode(F.sequence((first / cell).cast("long"), (last / cell).cast("long")))
+    left = tiles_.where(rows > 0).withColumn("band", bands(top, top + rows - 1))
+    right = boxes.where("y2 > y1 AND x2 > x1 AND y2 > 0 AND x2 > 0").withColumn("band", bands(F.greatest("y1", F.lit(0)), F.col("y2") - 1))
+    few = right.limit(SMALL + 1).count() <= SMALL
+    met = left.join(F.broadcast(right) if few else right, ["band", *(c for c in ("path", "hdu") if c in boxes.columns)]).where((F.col("x1") < x0 + wide) & (F.col("x2") > x0))
     low = F.greatest(F.col("y1"), top, F.col("band") * cell)
     high = F.least(F.col("y2"), top + rows, (F.col("band") + 1) * cell)
-    x0 = F.col("origin")[1]
     x_low, x_high = F.greatest(F.col("x1"), x0), F.least(F.col("x2"), x0 + wide)
     met = met.withColumn("low", low).withColumn("high", high).withColumn("x_low", x_low).withColumn("x_high", x_high).where("high > low AND x_high > x_low")
     lines = met.withColumn("y", F.explode(F.sequence(F.col("low").cast("long"), F.col("high").cast("long") - 1)))

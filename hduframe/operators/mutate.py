@@ -104,7 +104,7 @@ def update_rows(frame: DataFrame, rows: dict, row_slice: slice | tuple, total: i
         raise ValueError(f"no column {unknown[0]!r}")
     new = _as_rows(frame.select(*[f.name for f in some]), rows)
     new = new.select((F.col("__at") + start).alias("__to"), *[F.col(f"`{f.name}`").alias(f"__new_{f.name}") for f in some])
-    joined = frame.join(F.broadcast(new), F.col(ROW) == F.col("__to"), "left")  # given on the driver, so small
+    joined = frame.join(table.small(new, stop - start), F.col(ROW) == F.col("__to"), "left")
     return joined.select([F.when(F.col("__to").isNotNull(), F.col(f"`__new_{c}`")).otherwise(F.col(f"`{c}`")).alias(c) if c in rows else F.col(f"`{c}`") for c in frame.columns])
 
 
@@ -132,7 +132,7 @@ def _with_values(frame: DataFrame, name: str, values: Sequence) -> DataFrame:
         raise ValueError(f"{len(plain)} values for {rows} rows")
     kind = pa.array(plain).type if plain else pa.float64()
     given = frame.sparkSession.createDataFrame(pa.table({"__at": pa.array(range(len(plain)), pa.int64()), name: pa.array(plain, kind)}))
-    return frame.join(F.broadcast(given), F.col(ROW) == F.col("__at"), "left").drop("__at")
+    return frame.join(table.small(given, rows), F.col(ROW) == F.col("__at"), "left").drop("__at")
 
 
 # On files --------------------------------------------------------------------------------------------------------------

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..sources.schema import ROW
+from .table import _batches, small
 
 
 def select(frame: DataFrame, names: Sequence[str]) -> DataFrame:
@@ -37,7 +38,7 @@ def add_column(frame: DataFrame, name: str, values: Column | Sequence, overwrite
         raise ValueError(f"{len(values)} values for {rows} rows")
     kind = frame.sparkSession.createDataFrame([(v,) for v in values[:1]], [name]).schema[0].dataType if len(values) else T.DoubleType()
     given = frame.sparkSession.createDataFrame([(k, v) for k, v in enumerate(values)], T.StructType([T.StructField("__at", T.LongType()), T.StructField("__added", kind)]))
-    return frame.join(F.broadcast(given), F.col(key) == F.col("__at"), "left").select(*rest, F.col("__added").alias(name))
+    return frame.join(small(given, rows), F.col(key) == F.col("__at"), "left").select(*rest, F.col("__added").alias(name))
 
 
 def drop_columns(frame: DataFrame, names: Sequence[str]) -> DataFrame:
@@ -81,11 +82,5 @@ def iter_rows(frame: DataFrame, batch_size: int = 1000) -> Iterator[dict[str, li
     """Dictionaries of columns, ``batch_size`` rows each."""
     if batch_size <= 0:
         raise ValueError("batch_size must be positive")
-    waiting: list = []
-    for row in frame.toLocalIterator(prefetchPartitions=True):
-        waiting.append(row)
-        if len(waiting) == batch_size:
-            yield {c: [r[c] for r in waiting] for c in frame.columns}
-            waiting = []
-    if waiting:
-        yield {c: [r[c] for r in waiting] for c in frame.columns}
+    for batch in _batches(frame, batch_size):
+        yield {c: batch.column(k).to_pylist() for k, c in enumerate(frame.columns)}

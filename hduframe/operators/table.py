@@ -125,12 +125,21 @@ def _shaped(frame: DataFrame, names: Sequence[str] | None, start: int, stop: int
     return frame.select(out)
 
 
+#: Rows from the driver that are broadcast, at most.
+SMALL = 100_000
+
+
+def small(frame: DataFrame, rows: int) -> DataFrame:
+    """``frame``, to be broadcast if it has few rows."""
+    return F.broadcast(frame) if rows <= SMALL else frame
+
+
 def take_rows(frame: DataFrame, rows: Sequence[int], key: str = ROW) -> DataFrame:
-    """Rows by number, in the order of the list, repeats kept. The list comes from the driver, so it is broadcast."""
+    """Rows by number, in the order of the list, repeats kept."""
     if any(r < 0 for r in rows):
         raise ValueError("row numbers can't be negative")
     wanted = frame.sparkSession.createDataFrame([(k, int(r)) for k, r in enumerate(rows)], "__pos long, __wanted long")
-    return frame.join(F.broadcast(wanted), F.col(key) == F.col("__wanted")).orderBy("__pos").drop("__pos", "__wanted")
+    return frame.join(small(wanted, len(rows)), F.col(key) == F.col("__wanted")).orderBy("__pos").drop("__pos", "__wanted")
 
 
 def head(frame: DataFrame, n: int, key: str = ROW) -> DataFrame:
@@ -224,6 +233,11 @@ def stream_chunks(spark: SparkSession, path: str, hdu: int | str = 1, columns: S
     return scan(spark, path, chunk_rows, max_chunks, hdu=hdu, columns=columns, row_slice=slice(start_row - 1, stop), **more)
 
 
+def stream_arrays(spark: SparkSession, path: str, **more) -> Iterator[dict]:
+    """Chunks as dictionaries of NumPy arrays, for devices that take those; options as for ``stream_chunks``."""
+    return ({name: batch.column(name).to_numpy(zero_copy_only=False) for name in batch.schema.names} for batch in stream_chunks(spark, path, **more))
+
+
 def read_bounded(spark: SparkSession, path: str, hdu: int | str = "auto", max_memory_mb: float = 100, **more) -> Iterator[pa.RecordBatch]:
     """Chunks whose stored rows fit into the budget, by the row length in the header."""
     unit = find(path, hdu if hdu != "auto" else None, tables_only=True)

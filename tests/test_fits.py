@@ -210,6 +210,11 @@ def test_plio_and_rice_vectors():
     assert abs(codecs.dither_numbers()[-1] * 2147483647 - 1043618065) < 1  # the check value that the standard gives
 
 
+def star_file(spark, tmp_path):
+    interop.write_table(spark.range(20), str(tmp_path / "twenty.fits"))
+    return str(tmp_path / "twenty.fits")
+
+
 def test_cutouts(spark, tmp_path):
     path = str(tmp_path / "c.fits")
     pixels = np.arange(100 * 50, dtype=np.int32).reshape(100, 50)
@@ -228,6 +233,14 @@ def test_cutouts(spark, tmp_path):
     s = arrays.stats(tiles).first()
     assert (s.pixels, s.min, s.max) == (5000, 0, 4999) and abs(s["mean"] - pixels.mean()) < 1e-9 and abs(s.stddev - pixels.std()) < 1e-9
     assert arrays.tiles(spark, [path, path + ".none"], strict=False).count() == tiles.count()
+    one, other = str(tmp_path / "one.fits"), str(tmp_path / "other.fits")
+    arrays.write_image(one, np.arange(600, dtype=np.int32).reshape(20, 30))
+    arrays.write_image(other, 1000 + np.arange(600, dtype=np.int32).reshape(20, 30))
+    named = spark.createDataFrame([(1, one, 0, 2, 3, 5, 7), (2, other, 0, 28, -4, 99, 2)], "id int, path string, hdu int, x1 long, y1 long, x2 long, y2 long")
+    got = arrays.cutouts(arrays.tiles(spark, [one, other]), named, cell=4).collect()
+    want = {(1, y, x, y * 30 + x) for y in range(3, 7) for x in range(2, 5)} | {(2, y, x, 1000 + y * 30 + x) for y in range(2) for x in (28, 29)}
+    assert len(got) == len(want) and {(r.id, r.y, r.x, int(r.value)) for r in got} == want
+    assert sum(len(c["id"]) for c in table.stream_arrays(spark, star_file(spark, tmp_path), chunk_rows=7)) == 20
 
 
 @pytest.mark.parametrize("compress", [False, "rice", "gzip", "gzip_2", "plio"])
