@@ -16,12 +16,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import shingles
+from .common import bounded, shingles, splitmix, utf8
 
 BINS = 512
 BITS = 4
-#: Bins that an empty one looks at, one after the other.
+#: Bins that an empty one looks at, one after the other, that are drawn beforehand; more are drawn when they are needed.
 DRAWS = 4096
+#: About as many bytes of text go to a run of rows, more where there would be more than RUNS runs: their bounds are in the plan.
+RUN_BYTES, RUNS = 16 << 20, 20_000
 
 
 class MinHash:
@@ -37,9 +39,13 @@ class MinHash:
         self.shift = np.uint64(64 - (bins.bit_length() - 1))
         # The n-th bin that the empty bin k looks at: multiply, add and shift, with random numbers of its own for each k.
         chance = np.random.default_rng(20_240_229)
-        factor = chance.integers(0, 1 << 63, bins, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-        addend = chance.integers(0, 1 << 63, bins, dtype=np.uint64)
-        self.draws = ((np.arange(1, DRAWS + 1, dtype=np.uint64)[:, None] * factor + addend) >> self.shift).astype(np.int16)
+        self.factor = chance.integers(0, 1 << 63, bins, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+        self.addend = chance.integers(0, 1 << 63, bins, dtype=np.uint64)
+        self.draws = self._draw(1, DRAWS, slice(None))
+
+    def _draw(self, first: int, count: int, bins) -> np.ndarray:
+        """Draws of some bins; as factors are odd, every bin comes up sooner or later."""
+        return ((np.arange(first, first + count, dtype=np.uint64)[:, None] * self.factor[bins] + self.addend[bins]) >> self.shift).astype(np.int16)
 
     def of(self, hashes: np.ndarray) -> bytes:
         """``hashes``: sorted and distinct."""
@@ -58,21 +64,18 @@ class MinHash:
         if len(own) == 1:
             values[:] = values[own[0]]
             empty = empty[:0]
-        step = max(8, min(DRAWS, 4 * self.bins // len(own)))
-        for n in range(0, DRAWS, step):
-            if not len(empty):
-                break
-            looked = self.draws[n : n + step, empty]
+        step, n = max(8, min(DRAWS, 4 * self.bins // len(own))), 0
+        while len(empty):
+            looked = self.draws[n : n + step, empty] if n + step <= DRAWS else self._draw(n + 1, step, empty)
+            n += step
             hit = filled[looked]
             at = hit.argmax(axis=0)
             column = np.arange(len(empty))
             good = hit[at, column]
             values[empty[good]] = values[looked[at, column][good]]
             empty = empty[~good]
-        if len(empty):  # after so many draws in vain, the next filled bin
-            values[empty] = values[own[np.searchsorted(own, empty) % len(own)]]
-        # the low bits of the least value itself are not uniform over few shingles, so they come from a mix of it
-        low = ((values * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.bits)).astype(np.uint8)
+        # A few shingles fill all bins, and their own low bits may agree by chance; so bits come from a mix of value and bin.
+        low = (splitmix(values ^ self.addend) >> np.uint64(64 - self.bits)).astype(np.uint8)
         if self.bits == 4:
             return (low[::2] << np.uint8(4) | low[1::2]).tobytes()
         return np.packbits(np.unpackbits(low[:, None], axis=1)[:, 8 - self.bits :].reshape(-1)).tobytes()
@@ -93,13 +96,14 @@ class MinHash:
 
 
 def fingerprints(df: DataFrame, bins: int = BINS, bits: int = BITS, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """One row per row of ``df``: id and fingerprint (binary) of its set of five-word shingles; null texts count as empty."""
+    """One row per row of ``df``: id and fingerprint (binary) of its set of five-word shingles. Null and empty texts have an empty
+    one; a null id stays null; repeated rows give repeated results; an empty table gives an empty result; other columns, whatever
+    their names, are ignored."""
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = MinHash(bins, bits)
-        for batch in rows:
-            texts = [(x or "").encode() for x in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([hasher.of(s) for s in shingles(texts)], pa.binary())], names=[id_column, "fingerprint"])
+        for batch in bounded(rows):
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([hasher.of(s) for s in shingles(utf8(batch.column(1)))], pa.binary())], names=[id_column, "fingerprint"])
 
     kind = df.schema[id_column].dataType.simpleString()
     return df.select(F.col(id_column), F.col(text_column)).mapInArrow(run, f"`{id_column}` {kind}, fingerprint binary")
@@ -114,7 +118,9 @@ def with_next(docs: DataFrame, runs: int | None = None) -> DataFrame:
     """
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
-    runs = runs or max(4, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    if runs is None:
+        size = docs.agg(F.sum(F.octet_length("text"))).first()[0]
+        runs = min(max(2, -(-(size or 0) // RUN_BYTES)), RUNS)
     least = F.lit(-(1 << 63)).cast("bigint")
     at = F.coalesce(F.col("doc_id"), least)
     cuts = sorted(set(docs.select(F.col("doc_id").cast("double").alias("x")).approxQuantile("x", [k / runs for k in range(1, runs)], 0.2 / runs)))
@@ -132,7 +138,13 @@ def with_next(docs: DataFrame, runs: int | None = None) -> DataFrame:
     copies = F.when(is_first, F.array(own, ahead)).otherwise(F.array(own))
     spread = placed.select(F.explode(copies).alias("to"), "doc_id", "text").select("to.run", "to.own", "doc_id", "text")
     spread = spread.withColumn("late", (~F.col("own")).cast("int"))
-    return spread.repartition(len(firsts), "run").sortWithinPartitions("run", "late", F.col("doc_id").asc_nulls_first(), "text")
+    # a key for each run that Spark's hash deals to a partition of its own
+    keys = spark.range(16 * runs * max(1, runs.bit_length())).select("id", F.pmod(F.hash("id"), F.lit(runs)).alias("to")).groupBy("to").agg(F.min("id").alias("key")).collect()
+    key = [-1 - k for k in range(runs)]
+    for r in keys:
+        key[r.to] = r.key
+    to = F.get(F.array(*[F.lit(k).cast("bigint") for k in key]), F.col("run"))
+    return spread.repartition(runs, to).sortWithinPartitions("run", "late", F.col("doc_id").asc_nulls_first(), "text")
 
 
 def _bisect(value, cuts: list[int]):
@@ -178,7 +190,7 @@ def compare_edited(docs: DataFrame, bins: int = BINS, bits: int = BITS) -> DataF
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rest, strict=True), kinds, strict=True)], names=names)
 
         waiting, pairs, size, done = None, [], 0, None
-        for batch in rows:
+        for batch in bounded(rows):
             for at, own, doc_id, text in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
                 if waiting is not None and waiting[0] == at:
                     pairs.append((waiting[1], waiting[2], text))
