@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batches, held_out
+from .common import bounded, held_out
 from .sampling import sample_texts, sampled_ids
 
 #: Languages by family; any other language is a family of its own. Fixed values.
@@ -31,7 +31,8 @@ FAMILIES = {
 }
 _FAMILY_OF = {lang: family for family, langs in FAMILIES.items() for lang in langs}
 INPUTS = 2048
-PER_LANGUAGE, LANGUAGES = 2500, 64
+#: Documents of each language that a model is fitted on at most, and of all languages together.
+PER_LANGUAGE, MOST = 2500, 40_000
 UNKNOWN = "und"
 _LETTER = re.compile(r"[^\W\d_]")
 
@@ -55,7 +56,7 @@ def grams(text: str) -> np.ndarray:
 
 
 class LinearSVM:
-    """Hinge loss with decay, by averaged stochastic steps over small batches."""
+    """Hinge loss with decay, by averaged stochastic steps over small batches. Inputs are fitted as 255ths."""
 
     def fit(self, x: np.ndarray, signs: np.ndarray, epochs: int = 12, batch: int = 64, decay: float = 1e-4, seed: int = 5) -> LinearSVM:
         chance = np.random.default_rng(seed)
@@ -67,8 +68,9 @@ class LinearSVM:
             rate = 2.0 / (1 + epoch)
             for at in range(0, len(x), batch):
                 some = order[at : at + batch]
-                wrong = (signs[some] * (x[some] @ self.weights + self.bias) < 1) * signs[some] * balance[some] / len(some)
-                self.weights += rate * (wrong.astype(np.float32) @ x[some] - decay * self.weights)
+                inputs = x[some].astype(np.float32) / 255
+                wrong = (signs[some] * (inputs @ self.weights + self.bias) < 1) * signs[some] * balance[some] / len(some)
+                self.weights += rate * (wrong.astype(np.float32) @ inputs - decay * self.weights)
                 self.bias += rate * 0.1 * float(wrong.sum())
                 if epoch >= epochs // 2:
                     total += self.weights
@@ -129,15 +131,15 @@ class Hierarchy:
         return found.tolist(), scores
 
 
-def train(docs: DataFrame, per_language: int = PER_LANGUAGE, languages: int = LANGUAGES) -> Hierarchy:
-    """Fits on at most ``per_language`` documents of each of the ``languages`` most frequent languages, of those that aren't held
-    out (crc32 of the id, mod 5, is 0) and have a letter and a language."""
+def train(docs: DataFrame, per_language: int = PER_LANGUAGE, most: int = MOST) -> Hierarchy:
+    """Fits on at most ``per_language`` documents of each language, fewer where there are so many languages that they would be
+    more than ``most``, of those that aren't held out (crc32 of the id, mod 5, is 0) and have a letter and a language."""
     rows = docs.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(5)).select("doc_id", F.col("lang").alias("label"))
-    common = rows.groupBy("label").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "label").limit(languages)
-    ids = sampled_ids(rows.join(F.broadcast(common.select("label")), "label"), per_language).select("doc_id", "label").dropDuplicates(["doc_id"])
+    languages = rows.select("label").distinct().count()
+    ids = sampled_ids(rows, max(1, min(per_language, most // max(languages, 1)))).select("doc_id", "label")
 
     def run(batches_: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches(batches_, 512):
+        for batch in bounded(batches_):
             some = [(i, lab, grams(t)) for i, lab, t in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True) if t and _LETTER.search(t)]
             shares = [np.round(255 * v).astype(np.uint8).tobytes() for _, _, v in some]  # a byte each: the sample is sent to the driver
             yield pa.RecordBatch.from_arrays([pa.array([s[0] for s in some], pa.int64()), pa.array([s[1] for s in some], pa.string()), pa.array(shares, pa.binary())], names=["doc_id", "label", "x"])
@@ -146,7 +148,7 @@ def train(docs: DataFrame, per_language: int = PER_LANGUAGE, languages: int = LA
     given = sample.mapInArrow(run, "doc_id bigint, label string, x binary").toArrow().to_pandas().sort_values(["doc_id", "label"], kind="stable")
     if given.empty:
         return Hierarchy()
-    x = np.frombuffer(b"".join(given["x"]), np.uint8).reshape(-1, INPUTS).astype(np.float32) / 255
+    x = np.frombuffer(b"".join(given["x"]), np.uint8).reshape(-1, INPUTS)
     return Hierarchy().fit(x, given["label"].tolist())
 
 
@@ -159,7 +161,7 @@ def identify(docs: DataFrame, model: Hierarchy) -> DataFrame:
     """
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches(rows, 512):
+        for batch in bounded(rows, rows=512):
             texts = batch.column(2).to_pylist()
             lettered = [k for k, t in enumerate(texts) if t and _LETTER.search(t)]
             langs, scores = [UNKNOWN] * len(texts), np.ones(len(texts))

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batches, held_out, strings
+from .common import bounded, held_out, strings
 from .sampling import PER_CLASS, clean_labels, sample_texts, sampled_ids
 
 THRESHOLD = 0.3
@@ -117,11 +117,12 @@ class BradleyTerry:
 
 def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> BradleyTerry:
     """Fits on at most ``per_class`` documents of each label that aren't held out (crc32 of the id, mod 5, is 0). Where one label
-    is missing, everything gets the score 1, or 0 if there is no good document either."""
+    is missing, everything gets the score 1, or 0 if there is no good document either. Null ids and labels don't count; of an id's
+    contradicting labels the higher does, of its texts the least."""
     sample = sample_texts(docs, sampled_ids(clean_labels(labels, "quality").where(~held_out(5)), per_class))
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in rows:
+        for batch in bounded(rows):
             yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array([features(t) for t in strings(batch.column(0))], pa.list_(pa.float64()))], names=["doc_id", "label", "weight", "x"])
 
     given = sample.select("text", "doc_id", "label", "weight").mapInArrow(run, "doc_id bigint, label int, weight double, x array<double>").toArrow().to_pandas().sort_values("doc_id", kind="stable")
@@ -139,7 +140,7 @@ def score(docs: DataFrame, model: BradleyTerry) -> DataFrame:
     """
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches(rows, 1024):
+        for batch in bounded(rows):
             scores = model.score(np.array([features(t) for t in strings(batch.column(2))]).reshape(-1, FEATURES))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(scores, pa.float64()), pa.array((scores >= THRESHOLD).astype(np.int32))], names=["doc_id", "held_out", "score", "predicted"])
 
@@ -147,10 +148,11 @@ def score(docs: DataFrame, model: BradleyTerry) -> DataFrame:
 
 
 def keep_good(docs: DataFrame, model: BradleyTerry) -> DataFrame:
-    """The rows of ``docs`` that the model takes for good, with all columns."""
+    """The rows of ``docs`` that the model takes for good, with all columns, whatever their names. Null texts count as empty;
+    repeated rows stay or go together; of an empty table nothing stays."""
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches(rows, 1024):
+        for batch in bounded(rows):
             texts = strings(batch.column(batch.schema.get_field_index("text")))
             scores = model.score(np.array([features(t) for t in texts]).reshape(-1, FEATURES))
             yield batch.filter(pa.array(scores >= THRESHOLD, pa.bool_()))

@@ -1,8 +1,8 @@
 """Toxicity by a factorization machine over hashed terms.
 
-Terms are a text's words and the beginnings of its longer words, hashed. Those that tell the classes apart best are the
-machine's inputs, by presence; each has a weight, and a vector whose products with other terms' vectors weigh pairs of terms,
-as when an insult meets the mention of a group.
+Terms are a text's words and the beginnings of its longer words, hashed. The machine's inputs, by presence, are those that tell
+the classes apart best, and the most frequent ones, which may do so only in company. Each has a weight, and a vector whose
+products with other terms' vectors weigh pairs of terms, as when an insult meets the mention of a group.
 """
 
 from __future__ import annotations
@@ -16,13 +16,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batches, held_out, strings
+from .common import bounded, durable, held_out, strings
 from .sampling import PER_CLASS, clean_labels, sample_texts, sampled_ids
 
 BUCKETS = 1 << 20
-#: Inputs of the machine at most, the sampled documents that a term must be in, and the least gap between its shares in the two
-#: classes, in chance deviations: of a million terms without meaning, none is likely to show so much.
+#: Inputs of the machine that tell the classes apart, at most; the sampled documents that a term must be in, and the least gap
+#: between its shares in the two classes, in chance deviations: of a million terms without meaning, none is likely to show so much.
 SELECTED, LEAST_DOCUMENTS, LEAST_GAP = 2048, 3, 5.0
+#: Inputs that are the terms in most documents of the rarer class, and the documents that such a term must be in.
+FREQUENT, OFTEN = 2048, 20
 PREFIXES = (4, 5, 6, 7)
 FACTORS = 8
 THRESHOLD = 0.3
@@ -114,22 +116,22 @@ def _term_counts(sample: DataFrame) -> DataFrame:
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros((2, BUCKETS), np.int32)
-        for batch in rows:
+        for batch in bounded(rows):
             for text, label in zip(strings(batch.column(0)), batch.column(1).to_pylist(), strict=True):
                 found = {t for word in set(_WORD.findall(text.lower())) for t in terms(word)}
                 counts[label][list(found)] += 1
         some = np.flatnonzero(counts.sum(axis=0))
         yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(counts[0][some].astype(np.int64)), pa.array(counts[1][some].astype(np.int64))], names=["bucket", "n0", "n1"])
 
-    return sample.select("text", "label").repartition(6).mapInArrow(run, "bucket bigint, n0 bigint, n1 bigint").groupBy("bucket").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
+    return sample.select("text", "label").mapInArrow(run, "bucket bigint, n0 bigint, n1 bigint").groupBy("bucket").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
 
 
-def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, selected: int = SELECTED) -> ToxicityModel:
+def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, selected: int = SELECTED, frequent: int = FREQUENT) -> ToxicityModel:
     """Fits on at most ``per_class`` documents of each label that aren't held out (crc32 of the id, mod 4, is 2). Without both
-    labels, the model gives everything the share of label 1 that it saw, 0 if it saw none."""
+    labels, the model gives everything the share of label 1 that it saw, 0 if it saw none. Null ids and labels don't count; of an
+    id's contradicting labels the higher does, of its texts the least."""
     rows = clean_labels(labels, "toxic").where(~held_out(4, 2))
-    ids = sampled_ids(rows, per_class)
-    sample = sample_texts(docs, ids)
+    sample = durable(sample_texts(docs, sampled_ids(rows, per_class)), "sample")
     totals = {r.label: r.n for r in sample.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
     if len(totals) < 2:
         return ToxicityModel(np.zeros(0, np.int64), None, float(1 in totals))
@@ -138,12 +140,15 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, select
     share0, share1 = (F.col("n0") + 0.5) / (n0 + 1), (F.col("n1") + 0.5) / (n1 + 1)
     both = (F.col("n0") + F.col("n1") + 1) / (n0 + n1 + 2)
     gap = F.abs(share1 - share0) / F.sqrt(both * (1 - both) * (1 / n0 + 1 / n1) + 1e-12)
-    top = _term_counts(sample).where(F.col("n0") + F.col("n1") >= LEAST_DOCUMENTS).select("bucket", gap.alias("gap")).where(F.col("gap") >= LEAST_GAP).orderBy(F.desc("gap"), "bucket").limit(selected).collect()
-    chosen = np.array(sorted(r.bucket for r in top), np.int64)
+    counted = durable(_term_counts(sample).where(F.col("n0") + F.col("n1") >= LEAST_DOCUMENTS), "terms")
+    top = counted.select("bucket", gap.alias("gap")).where(F.col("gap") >= LEAST_GAP).orderBy(F.desc("gap"), "bucket").limit(selected).collect()
+    rarer = F.col("n1" if n1 <= n0 else "n0")
+    often = counted.where(rarer >= OFTEN).orderBy(F.desc(rarer), "bucket").limit(frequent).select("bucket").collect()
+    chosen = np.array(sorted({r.bucket for r in (*top, *often)}), np.int64)
     empty = ToxicityModel(chosen, None)
 
     def reduce(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in rows:
+        for batch in bounded(rows):
             found = [empty.inputs(t) for t in strings(batch.column(0))]
             yield pa.RecordBatch.from_arrays([batch.column(1), batch.column(2), batch.column(3), pa.array(found, pa.list_(pa.int64()))], names=["doc_id", "label", "weight", "inputs"])
 
@@ -162,7 +167,7 @@ def score(docs: DataFrame, model: ToxicityModel) -> DataFrame:
     """
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches(rows):
+        for batch in bounded(rows):
             scores = np.array([model.score(t) for t in strings(batch.column(2))])
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(scores, pa.float64()), pa.array((scores >= THRESHOLD).astype(np.int32))], names=["doc_id", "held_out", "score", "predicted"])
 
@@ -170,10 +175,11 @@ def score(docs: DataFrame, model: ToxicityModel) -> DataFrame:
 
 
 def keep_clean(docs: DataFrame, model: ToxicityModel) -> DataFrame:
-    """The rows of ``docs`` that the model doesn't reject, with all columns."""
+    """The rows of ``docs`` that the model doesn't reject, with all columns, whatever their names. Null and empty texts are
+    judged by the score of a text without known terms; repeated rows stay or go together; of an empty table nothing stays."""
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches(rows):
+        for batch in bounded(rows):
             texts = strings(batch.column(batch.schema.get_field_index("text")))
             yield batch.filter(pa.array([model.score(t) < THRESHOLD for t in texts], pa.bool_()))
 
