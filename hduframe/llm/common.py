@@ -64,14 +64,17 @@ def numbered(docs: DataFrame, name: str = "rid") -> DataFrame:
     return durable(docs.select("*", F.struct(F.lit(0).cast("bigint").alias("f"), F.monotonically_increasing_id().alias("r")).alias(name)), "numbered")
 
 
-def discard(df: DataFrame) -> None:
-    """Delete a table that ``durable`` wrote; later reads of it fail."""
-    spark = df.sparkSession
-    jvm = spark.sparkContext._jvm
-    for name in df.inputFiles()[:1]:
-        path = jvm.org.apache.hadoop.fs.Path(name).getParent()
-        if path.toString().split("/")[-1].count("-"):
-            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+def discard(*tables: DataFrame | None) -> None:
+    """Delete tables that ``durable`` wrote, later reads of which fail, and let Spark drop shuffle files that nothing needs."""
+    spark = None
+    for df in tables:
+        for name in df.inputFiles()[:1] if df is not None else []:
+            spark = df.sparkSession
+            path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(name).getParent()
+            if path.toString().split("/")[-1].count("-"):
+                path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    if spark is not None:
+        spark.sparkContext._jvm.System.gc()  # the cleaner goes by what the driver's garbage collector finds
 
 
 def held_out(mod: int, rest: int = 0):
@@ -132,7 +135,7 @@ def strings(column: pa.Array) -> list[str]:
     return [x if x is not None else "" for x in column.to_pylist()]
 
 
-def _splitmix(x: np.ndarray) -> np.ndarray:
+def splitmix(x: np.ndarray) -> np.ndarray:
     x = (x + np.uint64(0x9E3779B97F4A7C15)).astype(np.uint64)
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
     x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
@@ -146,7 +149,7 @@ _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
-_VALUE = _splitmix(_LOWER.astype(np.uint64) + np.uint64(1))
+_VALUE = splitmix(_LOWER.astype(np.uint64) + np.uint64(1))
 _VALUE[_SPACE] = 0
 _POWERS: list[np.ndarray] = []
 
@@ -233,7 +236,7 @@ def word_spans(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray,
     last[:-1] = first[1:] | ~solid[1:]
     last[-1] = True
     starts, stops = np.flatnonzero(first & solid), np.flatnonzero(last & solid) + 1
-    words = _splitmix((sums[stops] - sums[starts]) * inverse[starts] + (stops - starts).astype(np.uint64))
+    words = splitmix((sums[stops] - sums[starts]) * inverse[starts] + (stops - starts).astype(np.uint64))
     return words, np.searchsorted(starts, ends), _LOWER[data], starts, stops
 
 
@@ -244,7 +247,7 @@ def shingles(texts: list[bytes], words: int = SHINGLE_WORDS) -> Iterator[np.ndar
         rolled = np.zeros(max(0, len(hashes) - words + 1), np.uint64)
         for k in range(words):
             rolled = rolled * _BASE + hashes[k : k + len(rolled)]
-        rolled = _splitmix(rolled)
+        rolled = splitmix(rolled)
         for k in range(high - low):
             begin, end = at[k], at[k + 1]
             if end - begin >= words:
@@ -253,7 +256,7 @@ def shingles(texts: list[bytes], words: int = SHINGLE_WORDS) -> Iterator[np.ndar
                 whole = np.uint64(end - begin)
                 for x in hashes[begin:end]:
                     whole = np.uint64((int(whole) * int(_BASE) + int(x)) & 0xFFFFFFFFFFFFFFFF)
-                yield _splitmix(np.array([whole], np.uint64))
+                yield splitmix(np.array([whole], np.uint64))
             else:
                 yield np.zeros(0, np.uint64)
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import durable
+from .common import discard, durable
 
 
 def _stars(edges: DataFrame, large: bool) -> DataFrame:
@@ -30,5 +30,7 @@ def components(edges: DataFrame) -> DataFrame:
         if now == before or not now[0]:
             break
         before = now
-        current = durable(_stars(_stars(current, True), False), "edges")
+        following = durable(_stars(_stars(current, True), False), "edges")
+        discard(current)
+        current = following
     return current.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(current.select(F.col("v").alias("node"), F.col("v").alias("root"))).distinct()

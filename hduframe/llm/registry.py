@@ -55,6 +55,45 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.compare_edited(table(spark, sf_dir, "documents"))
 
 
+def text_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What SQL can express of ``op3_token_counts``."""
+    return op3_token_counts(spark, sf_dir).select("doc_id", "n_bytes")
+
+
+def edited_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What SQL can express of ``op10_fingerprints``."""
+    return op10_fingerprints(spark, sf_dir).select("doc_id", "n_chars", "edited_sha256")
+
+
+OP2_SQL = """
+WITH RECURSIVE t AS (
+    SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS w FROM documents
+), s AS (
+    SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) >= 5 THEN list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i : i + 4], ' ')) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS shingle FROM t
+), sizes AS (
+    SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id
+), shared AS (
+    SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS common FROM s AS a JOIN s AS b USING (shingle) WHERE a.doc_id < b.doc_id GROUP BY ALL
+), links AS (
+    SELECT x, y FROM shared JOIN sizes AS p ON p.doc_id = x JOIN sizes AS q ON q.doc_id = y WHERE 100 * common >= 80 * (p.n + q.n - common)
+), edges AS (
+    SELECT x, y FROM links UNION ALL SELECT y, x FROM links
+), reached(x, y) AS (
+    SELECT x, y FROM edges UNION SELECT r.x, e.y FROM reached AS r JOIN edges AS e ON e.x = r.y
+)
+SELECT doc_id, coalesce(n, 0) AS n_shingles, least(doc_id, coalesce(least_id, doc_id)) AS component_id
+FROM documents LEFT JOIN sizes USING (doc_id) LEFT JOIN (SELECT x AS doc_id, min(y) AS least_id FROM reached GROUP BY x) USING (doc_id)
+"""
+
+TEXT_BYTES_SQL = "SELECT doc_id, octet_length(encode(coalesce(text, ''))) AS n_bytes FROM documents"
+
+EDITED_SQL = """
+WITH o AS (
+    SELECT doc_id, coalesce(text, '') AS text, coalesce(lead(coalesce(text, '')) OVER (ORDER BY doc_id), (SELECT coalesce(first(text ORDER BY doc_id), '') FROM documents)) AS next FROM documents
+)
+SELECT doc_id, length(text) AS n_chars, sha256(left(text, length(text) - length(text) // 2) || left(next, length(text) // 2)) AS edited_sha256 FROM o
+"""
+
 OP7_SQL = """
 WITH t AS (
     SELECT doc_id, length(coalesce(text, '')) AS n, sha256(regexp_replace(coalesce(text, ''), '[\\x20\\x09-\\x0D]', '', 'g')) AS text_sha256 FROM documents
@@ -66,6 +105,6 @@ SELECT doc_id, keep_id, group_size, place = 1 AS kept, text_sha256 FROM r
 """
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_quality, op2_jaccard_join, op3_token_counts, op4_byte_bpe, op5_brown_lm, op6_best_fit_packing, op7_exact_dedup, op8_toxicity, op9_language_id, op10_fingerprints)
+    f.__name__: f for f in (op1_quality, op2_jaccard_join, op3_token_counts, op4_byte_bpe, op5_brown_lm, op6_best_fit_packing, op7_exact_dedup, op8_toxicity, op9_language_id, op10_fingerprints, text_bytes, edited_texts)
 }
-ORACLE_SQL: dict[str, str] = {"op7_exact_dedup": OP7_SQL}
+ORACLE_SQL: dict[str, str] = {"op2_jaccard_join": OP2_SQL, "op7_exact_dedup": OP7_SQL, "text_bytes": TEXT_BYTES_SQL, "edited_texts": EDITED_SQL}

@@ -21,7 +21,7 @@ from tokenizers import Tokenizer
 sys.path.insert(0, str(Path(__file__).parent))
 from helpers import LABELS, clashing, corpus, frame, odd_documents, shingle_set, words_of
 
-from hduframe.llm import brown_lm, byte_bpe, components, exact_dedup, fingerprints, jaccard_join, language_id, packing, quality, sampling, token_counts, toxicity
+from hduframe.llm import brown_lm, byte_bpe, common, components, exact_dedup, fingerprints, jaccard_join, language_id, packing, quality, sampling, token_counts, toxicity
 from hduframe.llm.common import shingles
 
 JSON, WORD_JSON, RANKS = (public_tokenizers.path(n) for n in ("byte_bpe_50k.json", "word_bpe_49k.json", "byte_bpe_50k.tiktoken"))
@@ -52,28 +52,45 @@ def test_prefix_counts(library):
         assert [prefixes.count(n) for n in range(len(text) + 1)] == want
         for budget in (0, 1, 5, 20):
             assert prefixes.fit(budget) == max(n for n, c in enumerate(want) if c <= budget)
+    long = counter.prefixes("the rain's falling " * 2000)
+    counter.prefix_counts = None  # nothing is encoded again
+    assert long.count(19 * 2000) == count("the rain's falling " * 2000) and long.count(19 * 1000 + 3) == count("the rain's falling " * 1000 + "the") and long.fit(1024) > 3000
+
+
+def test_truncation(spark, library):
+    docs = [*odd_documents(), (500, "some words, 'll  and\n\n more " * 300, "en", "s", 0)]
+    for r in token_counts.truncate(clashing(frame(spark, docs)), JSON, PATTERN, 20).join(frame(spark, docs).select("doc_id", F.col("text").alias("whole")).distinct(), "doc_id").collect():
+        whole = r.whole or ""
+        fits = [n for n in range(min(len(whole), 400) + 1) if len(library.encode(whole[:n], add_special_tokens=False).ids) <= 20]
+        assert r.text == whole[: max(fits)] or len(whole) == len(r.text)
 
 
 def test_byte_bpe_matches_library_and_round_trips(spark):
     ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(RANKS, "rb"))}
     library = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
     codec, texts = byte_bpe.DuckBPE(RANKS, PATTERN), odd_texts()
-    ids, decoded = codec.code([t.encode() for t in texts])
+    ids = codec.encode_many([t.encode() for t in texts])
     assert ids == [np.array(library.encode_ordinary(t), "<u4").tobytes() for t in texts]
-    assert decoded == [t.encode() for t in texts]
-    words = [w for t in texts[:300] for w in codec.cutter.pieces(t.encode())]
-    short = codec.encode_words(words)
-    byte_bpe.LONG_WORD, kept = 0, byte_bpe.LONG_WORD
-    try:
-        assert codec.encode_words(words) == short  # many pairs a step give what one pair a step gives
-    finally:
-        byte_bpe.LONG_WORD = kept
+    assert codec.decode_many(ids) == [t.encode() for t in texts]
     docs = frame(spark, odd_documents())
     coded = byte_bpe.encode(docs, RANKS, PATTERN)
     back = {r.doc_id: r.text for r in byte_bpe.decode(coded, RANKS, PATTERN).collect()}
     assert back == {r[0]: r[1] or "" for r in odd_documents()}
 
 
+def test_byte_bpe_of_long_words():
+    """Segments of a word join to what the library gives, for random letters and for runs that only their beginning aligns."""
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(RANKS, "rb"))}
+    library = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+    codec, chance = byte_bpe.DuckBPE(RANKS, PATTERN), random.Random(8)
+    words = ["".join(chance.choice(letters) for _ in range(n)) for letters in ("ab", "aeinrst", "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ", "日本語中文é") for n in (31, 33, 100, 700, 3000)]
+    words += [" " + "a" * 5000, "x" + "-" * 999 + "=" * 333, "ab" * 1500, "abc" * 999, "!" * 4097, "the" * 500, "ing" * 700 + "s", " " * 1300, "-=" * 600 + "-"]
+    words.append("".join(chance.choice("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ") for _ in range(100_000)))
+    got = codec.encode_words([w.encode() for w in words])
+    for word, ids in zip(words, got, strict=True):
+        assert np.frombuffer(ids, "<u4").tolist() == [t for p in [word.encode()] for t in library._core_bpe.encode_single_piece(p)], word[:40]
+
+
 def test_token_queries_on_odd_documents(spark, library):
     docs = clashing(frame(spark, odd_documents()))
     for r in token_counts.count_tokens(docs, JSON, PATTERN).join(docs.select("doc_id", "text").distinct(), "doc_id").collect():
@@ -166,8 +183,8 @@ def test_misra_gries_bound():
     rows = ["hot"] * 300 + [f"k{chance.randrange(500)}" for _ in range(600)]
     chance.shuffle(rows)
     summary = exact_dedup.MisraGries(9)
-    for r in rows:
-        summary.add(r)
+    for at in range(0, len(rows), 7):
+        summary.add(Counter(rows[at : at + 7]))
     true = Counter(rows)
     assert len(summary.counts) <= 9 and all(true[k] - len(rows) / 10 <= summary.counts.get(k, 0) <= true[k] for k in true)
 
@@ -222,6 +239,21 @@ def test_jaccard_join(spark, monkeypatch, seed, crowded, block):
     assert Counter((r.doc_id, r.n_shingles, r.component_id) for r in got) == brute_components(docs)
 
 
+def test_jaccard_join_of_a_passage_in_ten_thousand_sets(spark):
+    """Sets of 64 shingles, 56 of them of one passage, are alike at 56 / 72; those of which only the last word differs are linked."""
+    passage = " ".join(f"p{k}" for k in range(60))
+    docs = [(k, f"{passage} " + " ".join(f"w{k}x{n}" for n in range(8)), "en", "s", 0) for k in range(10_050)]
+    docs += [(20_000 + k, docs[k][1] + "y", "en", "s", 0) for k in range(0, 10_050, 201)]
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_join.classes(frame(spark, docs).repartition(4)).collect()}
+    assert got == {d[0]: (64, d[0] - 20_000 if d[0] >= 20_000 else d[0]) for d in docs}
+
+
+def test_classes_whose_first_64_bits_clash():
+    digest = bytes(range(16))
+    first, second = jaccard_join._two_longs(digest)
+    assert jaccard_join._key(digest, frozenset()) == first and jaccard_join._key(digest, frozenset([first])) == second
+
+
 def test_near_dedup_keeps_one_of_each(spark):
     docs = near_copies(4, 60, 3) + [(r[0] + 1000 if r[0] is not None else None, *r[1:]) for r in odd_documents()]
     kept = jaccard_join.dedup(clashing(frame(spark, docs)))
@@ -250,6 +282,19 @@ def test_shingles_equal_brute_force():
 # 10: fingerprints ------------------------------------------------------------------------------------------------------
 
 
+def test_fingerprints_and_densification(spark):
+    docs = clashing(frame(spark, odd_documents()))
+    hasher = fingerprints.MinHash()
+    got = Counter((r.doc_id, bytes(r.fingerprint)) for r in fingerprints.fingerprints(docs).collect())
+    assert got == Counter((d[0], hasher.of(next(shingles([(d[1] or "").encode()])))) for d in odd_documents())
+    assert fingerprints.fingerprints(docs.limit(0)).count() == 0
+    # a bin's draws go on until one is filled, however many that takes
+    few = fingerprints.MinHash(1 << 11)
+    two = few.of(np.array([1, 1 << 63], np.uint64))
+    values = {x for b in two for x in (b >> 4, b & 15)}
+    assert len(two) == 1 << 10 and len(values) <= 2
+
+
 def test_minhash_estimates_jaccard():
     chance, hasher = np.random.default_rng(0), fingerprints.MinHash()
     for n, least, most in ((20, 0.2, 0.35), (400, 0.45, 0.55), (2000, 0.75, 0.85)):
@@ -280,6 +325,18 @@ def test_edited_and_next(spark, rows):
     hasher = fingerprints.MinHash()
     by_id = {d[0]: base64.b64encode(hasher.of(next(shingles([(d[1] or "").encode()])))).decode() for d in docs}
     assert all(r.fingerprint == by_id[r.doc_id] for r in got)
+    # likenesses against those of the sets themselves, and the edited text's fingerprint against its own
+    following = {d[0]: order[(k + 1) % len(order)] for k, d in enumerate(order)}
+    once = Counter(d[0] for d in docs)
+    for r in got:
+        if once[r.doc_id] > 1 or r.doc_id is None or once[following[r.doc_id][0]] > 1:
+            continue
+        text, after = next(d[1] or "" for d in docs if d[0] == r.doc_id), following[r.doc_id][1] or ""
+        edited = fingerprints.edited_text(text, after)
+        assert r.edited_fingerprint == base64.b64encode(hasher.of(next(shingles([edited.encode()])))).decode()
+        for estimate, other in ((r.near_edited, edited), (r.near_next, after)):
+            a, b = shingle_set(text), shingle_set(other)
+            assert abs(estimate - (len(a & b) / len(a | b) if a | b else 1)) < 0.15
 
 
 # 5: language model -----------------------------------------------------------------------------------------------------
@@ -306,60 +363,77 @@ def test_brown_model(spark, monkeypatch):
     assert brown_lm.score(empty, *brown_lm.train(empty)).count() == 0
 
 
-def test_model_is_a_distribution(spark):
-    """For each context, chances of all known tokens and one unseen one in each item add up to at most 1."""
-    docs = frame(spark, corpus(80)[0])
-    model, counts = brown_lm.train(docs)
-    items = model.items
-    words = {bytes(r.word): r.c for r in counts.collect()}
-    _, numbers = items.read(list(words))
-    inside = {}
-    for (word, c), k in zip(words.items(), numbers, strict=True):
-        chance = 10 ** model.emission[k] * (1 if k < items.words else c + brown_lm.ADDED)
-        inside[model.classes[k]] = inside.get(model.classes[k], 0) + chance
-    inside[model.classes[items.end]] = inside.get(model.classes[items.end], 0) + 10 ** model.emission[items.end]
-    for row in model.transition:
-        assert 0.9 < sum(10**t * inside.get(c, 0) for c, t in enumerate(row)) <= 1 + 1e-9
+def told_apart(words):
+    """Hash and ending of each word, as the model has them."""
+    (run,) = brown_lm.tokenised([b" ".join(words)])
+    return run.hashes, run.endings
 
 
 @pytest.mark.parametrize("known", [200_000, 60])
 def test_words_beyond_the_items_have_their_own_class(spark, monkeypatch, known):
-    """Nouns follow articles and verbs follow nouns; all share one ending. A few of them are items, others known, others not."""
+    """Nouns follow articles and verbs follow nouns; all share one ending. A few of them are items, others known, others not. The
+    model is a distribution, and scores are what its tables give word by word."""
     monkeypatch.setattr(brown_lm, "KNOWN", known)
     monkeypatch.setattr(brown_lm, "WORDS", 30)
     chance = random.Random(5)
     nouns, verbs = [f"n{k}xxxx" for k in range(60)], [f"v{k}xxxx" for k in range(60)]
     pick = lambda some: some[min(int(chance.expovariate(0.06)), 59)]
-    rows = [(k, " ".join(f"the {pick(nouns)} {pick(verbs)}" for _ in range(20)), "en", "s", 0) for k in range(400)]
+    sentence = lambda: f"the {pick(nouns)} {pick(verbs)}"
+    rows = [(k, " ".join(sentence() for _ in range(20)), "en", "s", 0) for k in range(400)]
+    rows.append((400, " ".join(sentence() for _ in range(60_000)), "en", "s", 0))  # longer than a run
     docs = frame(spark, rows)
     model, counts = brown_lm.train(docs)
-    table = {bytes(r.word): (r.c, r["class"]) for r in counts.collect()}
-    assert model.far == (known == 60) and len(table) > 110
-    items, kinds, inside = model.items, {}, Counter()
-    (numbers, ) = items.read(list(table))[1:]
-    for (word, (c, own)), item in zip(table.items(), numbers, strict=True):
-        place = items.number.get(word, -1)
-        own = own if place < 0 else model.of_place[place] if model.of_place[place] >= 0 else None
-        assert (own is None) == (place >= 0 and place < items.words or c < brown_lm.LEAST)
-        kinds[word] = model.classes[item] if own is None else own
-        inside[kinds[word]] += (c + brown_lm.ADDED) / 10 ** model.within[own] if own is not None else 10 ** model.emission[item] * (1 if item < items.words else c + brown_lm.ADDED)
-    often = [w for w, (c, _) in table.items() if c >= 20 and w != b"the"]
-    sides = [{kinds[w] for w in often if w[:1] == x} for x in (b"n", b"v")]
-    assert not sides[0] & sides[1]  # one ending's class for all of them before
+    items = model.items
+    true = Counter(w.encode() for r in rows if zlib.crc32(str(r[0]).encode()) % 10 for w in r[1].split())
+    words = sorted(true)
+    hashes, endings = told_apart(words)
+    places, numbers = items.read(hashes, endings)
+    far = {r.h: (r.c, r["class"]) for r in counts.collect()}
+    assert model.far == (known == 60) and len(words) > 110
+    kinds, inside, logs = {}, Counter(), {}
+    for word, h, place, item in zip(words, hashes.view(np.int64).tolist(), places.tolist(), numbers.tolist(), strict=True):
+        c, own = (int(items.counts[place]), None if model.of_place[place] < 0 else int(model.of_place[place])) if place >= 0 else far[h]
+        assert c == true[word] and (own is None) == (0 <= place < items.words or c < brown_lm.LEAST)
+        kinds[word] = int(model.classes[item]) if own is None else own
+        logs[word] = math.log10(c + 0.1) - model.within[own] if own is not None else model.emission[item] + (0 if item < items.words else math.log10(c + 0.1))
+        inside[kinds[word]] += 10 ** logs[word]
+    end = int(model.classes[items.end])
+    inside[end] += 10 ** model.emission[items.end]
     assert all(0.8 < x <= 1 + 1e-9 for x in inside.values())
+    assert all(0.8 < sum(10**t * inside.get(c, 0) for c, t in enumerate(line)) <= 1 + 1e-9 for line in model.transition)
+    often = [w for w, c in true.items() if c >= 20 and w != b"the"]
+    sides = [{kinds[w] for w in often if w[:1] == x} for x in (b"n", b"v")]
+    assert not sides[0] & sides[1]  # one ending's class for all of them without their own counts
+    context = {w: kinds[w] if p >= 0 else int(model.classes[i]) for w, p, i in zip(words, places.tolist(), numbers.tolist(), strict=True)}
     got = {r.doc_id: r.score for r in brown_lm.score(docs, model, counts).collect()}
-    for doc_id, text, *_ in rows[:40]:
-        want, before = 0.0, model.classes[items.end]
+    for doc_id, text, *_ in [*rows[:40], rows[-1]]:
+        want, before = 0.0, end
         for word in text.encode().split():
-            (c, own), place = table.get(word, (0, None)), items.number.get(word, -1)
-            item = items.read([word])[1][0]
-            own = own if place < 0 else model.of_place[place] if model.of_place[place] >= 0 else None
-            now = model.classes[item] if own is None else own
-            count = math.log10(c + brown_lm.ADDED)
-            want += model.transition[before, now] + (count - model.within[own] if own is not None else model.emission[item] + (count if item >= items.words else 0))
-            before = now
-        want += model.transition[before, model.classes[items.end]] + model.emission[items.end]
-        assert abs(got[doc_id] - want) < 1e-6
+            if word not in true:
+                item = int(items.read(*told_apart([word]))[1][0])
+                kinds[word] = context[word] = int(model.classes[item])
+                logs[word] = model.emission[item] + math.log10(0.1)
+            want += model.transition[before, kinds[word]] + logs[word]
+            before = context[word]
+        want += model.transition[before, end] + model.emission[items.end]
+        assert abs(got[doc_id] - want) < 1e-6 * max(1, abs(want))
+
+
+def test_long_texts_are_read_in_parts():
+    text = b"one two  three\nfour " * 5
+    (whole,) = brown_lm.tokenised([b"a b", text, b"", b"c"])
+    parts = list(brown_lm.tokenised([b"a b", text, b"", b"c"], 30))
+    assert len(parts) > 3 and np.array_equal(np.concatenate([r.hashes for r in parts]), whole.hashes)
+    kinds, steps, owners, before = {h: k for k, h in enumerate(sorted(set(whole.hashes.tolist())), 1)}, [], [], 0
+    for r in parts:
+        row = r.row(np.array([kinds[h] for h in r.hashes.tolist()], np.int64), 0, before)
+        before = row[-1]
+        steps += zip(row[:-1].tolist(), row[1:].tolist(), strict=True)
+        owners += r.texts().tolist()
+    row = whole.row(np.array([kinds[h] for h in whole.hashes.tolist()]), 0, 0).tolist()
+    assert steps == list(zip(row, row[1:], strict=False)) and owners == whole.texts().tolist()
+    assert common.part_runs([]) is not None and not list(common.part_runs([]))
+    assert b"".join(p for _, ps, _, _ in common.part_runs([b"x" * 100 + b" y"], 10) for p in ps) == b"x" * 100 + b" y"
 
 
 def test_exchange_finds_classes():
@@ -407,6 +481,23 @@ def test_toxicity(spark, labelled):
     assert toxicity.score(odd, toxicity.train(docs, labels.limit(0))).count() == len(odd_documents())
 
 
+def test_toxic_pairs_of_words_that_are_harmless_alone(spark):
+    """Either word is as frequent in clean documents as in toxic ones; only both together are toxic."""
+    chance, docs, labels = random.Random(4), [], []
+    for k in range(3000):
+        one, other = chance.random() < 0.5, chance.random() < 0.5
+        words = [chance.choice(["river", "house", "light", "stone", "paper", "table"]) for _ in range(8)] + [chance.choice(["these", "those"]), chance.choice(["vermin", "people"])]
+        words[-2:] = ["strangers" if one else "neighbours", "rotten" if one == other else "gentle"]
+        docs.append((k, " ".join(words), "en", "s", 0))
+        labels.append((k, 1, int(one and one == other or not one and one != other)))
+    share = lambda w: np.mean([t for (_, text, *_), (_, _, t) in zip(docs, labels, strict=True) if w in text.split()])
+    assert abs(share("strangers") - 0.5) < 0.05 and abs(share("rotten") - 0.5) < 0.05
+    frame_ = frame(spark, docs)
+    model = toxicity.train(frame_, spark.createDataFrame(labels, LABELS))
+    got = {r.doc_id: r for r in toxicity.score(frame_, model).collect() if r.held_out}
+    assert np.mean([(r.score > 0.5) == bool(labels[k][2]) for k, r in got.items()]) > 0.95
+
+
 def test_factorization_machine_learns_pairs():
     chance = np.random.default_rng(3)
     rows = [np.flatnonzero(chance.random(6) < 0.5) for _ in range(2000)]
@@ -417,9 +508,17 @@ def test_factorization_machine_learns_pairs():
 
 
 def test_sample_of_a_label_with_millions_of_rows(spark):
-    rows = spark.range(8_500_000).select(F.col("id").alias("doc_id"), F.lit("en").alias("label"))  # times 2^40, more than a bigint holds
-    got = sampling.sampled_ids(rows, 5).collect()
-    assert len({r.doc_id for r in got}) == 5 and {r.weight for r in got} == {1_700_000}
+    rows = spark.range(10_000_000).select(F.col("id").alias("doc_id"), F.lit("en").alias("label"))  # times 2^40, more than a bigint holds
+    got = sampling.sampled_ids(rows, 50).collect()
+    assert 40 <= len({r.doc_id for r in got}) <= 50 and {r.weight for r in got} == {10_000_000 / len(got)}
+
+
+def test_sample_with_a_repeated_id(spark):
+    rows = spark.range(100_300).select(F.when(F.col("id") < 100_000, 7).otherwise(F.col("id")).alias("doc_id"), F.lit("en").alias("label"))
+    got = sampling.sampled_ids(rows, 1000)
+    assert got.count() == got.distinct().count() <= 301
+    texts = sampling.sample_texts(rows.select("doc_id", F.when(F.col("doc_id") > 7, "a").alias("text")), got).collect()
+    assert len(texts) == got.count() and {r.text for r in texts} <= {"a", ""}
 
 
 def test_language(spark, labelled):
