@@ -74,6 +74,7 @@ def discard(*tables: DataFrame | None) -> None:
             if path.toString().split("/")[-1].count("-"):
                 path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
     if spark is not None:
+        give_back()
         spark.sparkContext._jvm.System.gc()  # the cleaner goes by what the driver's garbage collector finds
 
 
@@ -85,6 +86,14 @@ def held_out(mod: int, rest: int = 0):
 _HELD: dict = {"stage": None}
 
 
+def give_back() -> None:
+    """Memory that is free goes back to the system: what a model was fitted on would else count until the driver ends."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # another C library
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def _leave_stages_behind() -> None:
     """A Python worker serves tasks of many stages. At a stage's first task, what ``of_worker`` made for an earlier one goes, and
     memory that is free goes back to the system."""
@@ -93,10 +102,7 @@ def _leave_stages_behind() -> None:
     if _HELD["stage"] != stage:
         _HELD.clear()
         _HELD["stage"] = stage
-        gc.collect()
-        pa.default_memory_pool().release_unused()
-        with contextlib.suppress(OSError, AttributeError):  # another C library
-            ctypes.CDLL(None).malloc_trim(0)
+        give_back()
 
 
 def of_worker(key, make):

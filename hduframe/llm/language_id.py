@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded, held_out
+from .common import bounded, give_back, held_out
 from .sampling import sample_texts, sampled_ids
 
 #: Languages by family; any other language is a family of its own. Fixed values.
@@ -149,7 +149,10 @@ def train(docs: DataFrame, per_language: int = PER_LANGUAGE, most: int = MOST) -
     if given.empty:
         return Hierarchy()
     x = np.frombuffer(b"".join(given["x"]), np.uint8).reshape(-1, INPUTS)
-    return Hierarchy().fit(x, given["label"].tolist())
+    model = Hierarchy().fit(x, given["label"].tolist())
+    del given, x
+    give_back()
+    return model
 
 
 def identify(docs: DataFrame, model: Hierarchy) -> DataFrame:

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded, held_out, strings
+from .common import bounded, give_back, held_out, strings
 from .sampling import PER_CLASS, clean_labels, sample_texts, sampled_ids
 
 THRESHOLD = 0.3
@@ -125,10 +125,12 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Bra
         for batch in bounded(rows):
             yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array([features(t) for t in strings(batch.column(0))], pa.list_(pa.float64()))], names=["doc_id", "label", "weight", "x"])
 
-    given = sample.select("text", "doc_id", "label", "weight").mapInArrow(run, "doc_id bigint, label int, weight double, x array<double>").toArrow().to_pandas().sort_values("doc_id", kind="stable")
+    given = sample.select("text", "doc_id", "label", "weight").mapInArrow(run, "doc_id bigint, label int, weight double, x array<double>").toArrow().sort_by("doc_id").combine_chunks()
     model = BradleyTerry()
-    x = np.array([list(r) for r in given["x"]]).reshape(-1, FEATURES)
-    model.fit(x, given["label"].to_numpy(np.int64), given["weight"].to_numpy(np.float64))
+    x = np.concatenate([np.zeros(0), *(np.asarray(c.flatten()) for c in given["x"].chunks)]).reshape(-1, FEATURES)
+    model.fit(x, np.asarray(given["label"]).astype(np.int64), np.asarray(given["weight"]))
+    del given, x
+    give_back()
     return model
 
 

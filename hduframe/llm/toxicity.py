@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded, durable, held_out, strings
+from .common import bounded, discard, durable, give_back, held_out, strings
 from .sampling import PER_CLASS, clean_labels, sample_texts, sampled_ids
 
 BUCKETS = 1 << 20
@@ -150,12 +150,18 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, select
     def reduce(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in bounded(rows):
             found = [empty.inputs(t) for t in strings(batch.column(0))]
-            yield pa.RecordBatch.from_arrays([batch.column(1), batch.column(2), batch.column(3), pa.array(found, pa.list_(pa.int64()))], names=["doc_id", "label", "weight", "inputs"])
+            yield pa.RecordBatch.from_arrays([batch.column(1), batch.column(2), batch.column(3), pa.array(found, pa.list_(pa.int32()))], names=["doc_id", "label", "weight", "inputs"])
 
-    given = sample.select("text", "doc_id", "label", "weight").mapInArrow(reduce, "doc_id bigint, label int, weight double, inputs array<bigint>").toArrow().to_pandas().sort_values("doc_id", kind="stable")
+    given = sample.select("text", "doc_id", "label", "weight").mapInArrow(reduce, "doc_id bigint, label int, weight double, inputs array<int>").toArrow().sort_by("doc_id").combine_chunks()
     machine = FactorizationMachine(len(chosen))
     if len(chosen):
-        machine.fit([np.asarray(x, np.int64) for x in given["inputs"]], given["label"].to_numpy(np.float64), given["weight"].to_numpy(np.float64))
+        lists = given["inputs"].chunk(0)
+        rows = np.split(np.asarray(lists.flatten()), np.cumsum(np.asarray(lists.value_lengths()))[:-1])
+        machine.fit(rows, np.asarray(given["label"]).astype(np.float64), np.asarray(given["weight"]))
+        del rows, lists
+    del given
+    discard(sample, counted)
+    give_back()
     return ToxicityModel(chosen, machine)
 
 
