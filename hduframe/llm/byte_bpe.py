@@ -55,7 +55,7 @@ DECODE = "SELECT text, string_agg(piece, '' ORDER BY place) AS piece FROM coded
 class DuckBPE:
     """Encoder and decoder for the ranks in a file of base64 tokens and numbers, words being the matches of ``pattern``."""
 
-    def __init__(self, path: str, pattern: str, remember: int = 48_000_000) -> None:
+    def __init__(self, path: str, pattern: str, remember: int = 80_000_000) -> None:
         with open(path, "rb") as file:
             rank = {base64.b64decode(t): int(n) for t, n in (line.split() for line in file if line.strip())}
         self.bytes_of = {n: t for t, n in rank.items()}
@@ -237,7 +237,7 @@ def round_trip(df: DataFrame, path: str, pattern: str, id_column: str = "doc_id"
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = _codec(path, pattern)
-        for batch in bounded(rows):
+        for batch in bounded(rows, 4 << 20):
             joined = codec.encode_many(utf8(batch.column(1)))
             decoded = codec.decode_many(joined)
             yield pa.RecordBatch.from_arrays(

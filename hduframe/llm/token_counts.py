@@ -27,7 +27,7 @@ LIMIT = 1024
 class PrefixCounter:
     """Exact counts for the byte-level BPE in a ``tokenizers`` JSON file, special strings inside texts included."""
 
-    def __init__(self, path: str, pattern: str, remember: int = 40_000_000) -> None:
+    def __init__(self, path: str, pattern: str, remember: int = 110_000_000) -> None:
         with open(path, encoding="utf-8") as file:
             spec = json.load(file)
         symbol = byte_symbols()
@@ -214,7 +214,7 @@ def count_tokens(df: DataFrame, path: str, pattern: str, limit: int = LIMIT, id_
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counter = _counter(path, pattern)
-        for batch in bounded(rows):
+        for batch in bounded(rows, 4 << 20):
             texts = utf8(batch.column(1))
             counts = counter.counts(texts)
             yield pa.RecordBatch.from_arrays(
