@@ -201,10 +201,12 @@ def _need(p, q, threshold: tuple[int, int]):
 
 
 def _crowded(left: DataFrame, known: DataFrame, threshold: tuple[int, int]) -> DataFrame:
-    """Rows (a, b, overlap, least) of pairs that may be alike, for the incidence (h, s, n, place, k, root, total, outside)
-    of crowded columns. total is how many columns a class has altogether, outside how many of them aren't crowded; least is the
-    overlap that alike sets have in all crowded columns: of two sets, the one whose first shingles end earlier in the common order
-    has no other shingle in common with the other's first ones, and shares at most the rest of its own beyond.
+    """Rows (a, b, overlap, least) of pairs that may be alike, for the incidence (h, s, n, k, root, total, outside, room)
+    of crowded columns. total is how many columns a class has altogether, outside how many of them aren't crowded, room how many
+    shingles it has from the first of all of them on; least is the overlap that alike sets have in all crowded columns: of two
+    sets, the one whose first shingles end earlier in the common order has no other shingle in common with the other's first
+    ones, and shares at most the rest of its own beyond. As overlaps of several blocks add up, blocks are left out only for what
+    holds of their classes in all columns.
 
     Columns make a block if they hold the same class of least hash, as those of one passage or family mostly do. In a block of
     columns, classes are cut into blocks of about BLOCK, of one large component or of several small ones, and where there are many
@@ -214,26 +216,28 @@ def _crowded(left: DataFrame, known: DataFrame, threshold: tuple[int, int]) -> D
     num, den = threshold
     family = left.groupBy("h").agg(F.min(F.xxhash64("s")).alias("g"))
     cells = left.join(family, "h").groupBy("g", "s").agg(
-        F.first("n").alias("n"), F.first("root").alias("root"), F.max(F.col("n") - F.col("place")).alias("room"), F.first("total").alias("total"), F.first("outside").alias("outside"), F.collect_list(F.struct("h", F.col("k").cast("int").alias("k"))).alias("cells")
+        F.first("n").alias("n"), F.first("root").alias("root"), F.first("room").alias("room"), F.first("total").alias("total"), F.first("outside").alias("outside"), F.collect_list(F.struct("h", F.col("k").cast("int").alias("k"))).alias("cells")
     )
     cells = durable(cells, "cells")
-    facts = cells.select("g", "s", "n", "root", "room")
+    facts = cells.select("g", "s", "n", "root", "room", "total")
     of_root = facts.groupBy("g", "root").agg(F.count(F.lit(1)).alias("of_root"))
     of_block = facts.groupBy("g").agg(F.count(F.lit(1)).alias("of_block"))
     level = F.when(F.col("of_block") > BLOCK, F.floor(F.log("n") / F.log(F.lit(den / num)))).otherwise(F.lit(0)).cast("int")
     only = F.when(F.col("of_root") >= BLOCK, F.col("root"))
-    placed = facts.join(of_root, ["g", "root"]).join(of_block, "g").select("g", "s", "n", "room", "root", only.alias("only"), level.alias("level"))
+    placed = facts.join(of_root, ["g", "root"]).join(of_block, "g").select("g", "s", "n", "room", "total", "root", only.alias("only"), level.alias("level"))
     parts = placed.groupBy("g", "only", "level").agg(F.ceil(F.count(F.lit(1)) / F.lit(BLOCK)).alias("parts"))
     placed = placed.join(parts.withColumnRenamed("g", "g2").withColumnRenamed("only", "only2").withColumnRenamed("level", "level2"), (F.col("g") == F.col("g2")) & F.col("only").eqNullSafe(F.col("only2")) & (F.col("level") == F.col("level2")))
     # classes of one small component go to one block, if they are few
     part = F.pmod(F.xxhash64(F.when(F.col("only").isNull(), F.col("root")).otherwise(F.col("s"))), F.col("parts"))
-    placed = durable(placed.select("g", "s", "n", "room", "only", F.xxhash64("only", "level", part).alias("id")), "placed")
-    blocks = placed.groupBy("g", "id").agg(F.first("only").alias("only"), F.min("n").alias("least"), F.max("n").alias("most"), F.max("room").alias("room"))
+    placed = durable(placed.select("g", "s", "n", "room", "total", "only", F.xxhash64("only", "level", part).alias("id")), "placed")
+    blocks = placed.groupBy("g", "id").agg(F.first("only").alias("only"), F.min("n").alias("least"), F.max("n").alias("most"), F.max("room").alias("room"), F.max("total").alias("total"))
     i, j = blocks.alias("i"), blocks.alias("j")
     met = i.join(j, (F.col("i.g") == F.col("j.g")) & (F.col("i.id") <= F.col("j.id")))
     met = met.where("i.only IS NULL OR j.only IS NULL OR i.only <> j.only")
     met = met.where((F.col("i.most").cast("bigint") * den >= F.col("j.least").cast("bigint") * num) & (F.col("j.most").cast("bigint") * den >= F.col("i.least").cast("bigint") * num))
-    met = met.where(F.least("i.room", "j.room") >= _need(F.col("i.least"), F.col("j.least"), threshold))
+    need = _need(F.col("i.least"), F.col("j.least"), threshold)
+    rest = F.ceil(F.greatest("i.most", "j.most").cast("bigint") * num / F.lit(den)) - 1  # what a set can share beyond its first shingles
+    met = met.where((F.least("i.room", "j.room") >= need) & (F.least("i.total", "j.total") + rest >= need))
     met = met.select(F.col("i.g").alias("g"), F.col("i.id").alias("x"), F.col("j.id").alias("y"))
     given = cells.join(placed.select("g", "s", "id"), ["g", "s"]).join(known.select("s", "spread"), "s")
     sides = met.select("g", "x", "y", F.explode(F.when(F.col("x") == F.col("y"), F.array(F.lit(0))).otherwise(F.array(F.lit(0), F.lit(1)))).alias("side"))
@@ -369,7 +373,7 @@ def _classes(docs: DataFrame, words: int, threshold: tuple[int, int]) -> DataFra
     mixed = left = durable(_mixed(shared, joined), "left")
     sizes = left.groupBy("h").agg(F.count(F.lit(1)).alias("all"))
     left = left.join(sizes, "h")
-    totals = left.groupBy("s").agg(F.sum("k").alias("total"), F.sum(F.when(F.col("all") <= CROWDED, F.col("k")).otherwise(0)).alias("outside"))
+    totals = left.groupBy("s").agg(F.sum("k").alias("total"), F.sum(F.when(F.col("all") <= CROWDED, F.col("k")).otherwise(0)).alias("outside"), F.max(F.col("n") - F.col("place")).alias("room"))
     left = durable(left.join(totals, "s"), "left")
     discard(shared, mixed)
     sparse = left.where(F.col("all") <= CROWDED).withColumn("elsewhere", F.col("total") - F.col("outside"))

@@ -248,6 +248,20 @@ def test_jaccard_join_of_a_passage_in_ten_thousand_sets(spark):
     assert got == {d[0]: (64, d[0] - 20_000 if d[0] >= 20_000 else d[0]) for d in docs}
 
 
+def test_overlaps_add_up_over_all_crowded_columns(spark):
+    """Classes 2 and 3, of 100 shingles, share 4 of their first ones in one block of columns and 6 in another, which comes so late
+    among theirs that it alone wouldn't do; together they have what alike sets must have."""
+    early = [(1, s, 100, 5, 4) for s in (1, 2, 3, 4)]
+    late = [(2, s, 100, 15, 6) for s in (2, 3, 5, 8)]
+    rows = [(h, s, n, place, k, s, 10 if s in (2, 3) else k, 0, 85 if s in (5, 8) else 95) for h, s, n, place, k in early + late]
+    left = spark.createDataFrame(rows, "h long, s long, n int, place int, k long, root long, total long, outside long, room int")
+    assert left.groupBy("h").agg(F.min(F.xxhash64("s")).alias("g")).select("g").distinct().count() == 2
+    spread = bytearray([1] * 100 + [0] * 156)
+    known = spark.createDataFrame([(s, spread) for s in range(1, 9)], "s long, spread binary")
+    found = jaccard_join._crowded(left, known, (80, 100)).groupBy("a", "b").agg(F.sum("overlap").alias("overlap"), F.max("least").alias("least"))
+    assert [tuple(r) for r in found.where("overlap >= least").collect()] == [(2, 3, 10, 10)]
+
+
 def test_classes_whose_first_64_bits_clash():
     digest = bytes(range(16))
     first, second = jaccard_join._two_longs(digest)
