@@ -44,22 +44,14 @@ _SYMBOLS = {b: symbol for symbol, b in byte_symbols().items()}
 _ODD_CONTROLS = b"\x1c\x1d\x1e\x1f"
 #: ASCII punctuation but for the apostrophe, which begins pieces of its own.
 _TAIL = bytes(c for c in range(33, 127) if not chr(c).isalnum() and chr(c) != "'")
-
-
-def _word_and_tail(chunk: bytes) -> tuple[bytes, ...]:
-    """A chunk cut before the punctuation at its end, where an ASCII or Latin-1 letter stands before: no piece reaches over."""
-    word = chunk.rstrip(_TAIL)
-    if len(word) == len(chunk) or not word:
-        return (chunk,)
-    last = word[-1]
-    letter = 97 <= last <= 122 or (last > 127 and len(word) > 1 and word[-2] == 0xC3 and last not in (0x97, 0xB7))
-    return (word, chunk[len(word) :]) if letter else (chunk,)
+#: Ends of chunks that are remembered, and the length up to which they are.
+ENDS, END_BYTES = 4096, 16
 
 
 class SpacelessEncoder:
     """Ids by a ``tokenizers`` file that lower-cases and drops white space, special strings as the library handles them by
-    default. What stands between white space is encoded once and remembered; of what isn't remembered, a word and the
-    punctuation behind it are encoded separately."""
+    default. What stands between white space is encoded once and remembered; of what isn't remembered, a plain word and the
+    punctuation behind it are encoded separately: no piece reaches over."""
 
     def __init__(self, path: str, remember: int = 56_000_000) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -70,26 +62,40 @@ class SpacelessEncoder:
         self.tokenizer.no_padding()
         self.special = [x.content.encode() for x in self.tokenizer.get_added_tokens_decoder().values()]
         self.chunks = Memo(remember)
+        self.ends: dict[bytes, bytes] = {b"": b""}
 
     def _by_library(self, chunks: list[bytes]) -> list[bytes]:
-        """A word of plain lower-case letters is given to the library's model itself, as its normaliser leaves it alone and its
-        splitter finds one piece; all else to the whole library."""
-        out: dict[bytes, bytes] = {}
-        tokenize = self.tokenizer.model.tokenize
-        for c in chunks:
-            if c.isalpha() or _PLAIN.match(c):  # isalpha is about ASCII here, and chunks are lower-cased
-                out[c] = array("I", [t.id for t in tokenize(c.decode("latin-1").translate(_SYMBOLS))]).tobytes()
-        rest = [c for c in chunks if c not in out]
-        coded = self.tokenizer.encode_batch_fast([c.decode("utf-8", "replace") for c in rest], add_special_tokens=False)
-        out.update(zip(rest, (array("I", e.ids).tobytes() for e in coded), strict=True))
-        return [out[c] for c in chunks]
+        coded = self.tokenizer.encode_batch_fast([c.decode("utf-8", "replace") for c in chunks], add_special_tokens=False)
+        return [array("I", e.ids).tobytes() for e in coded]
+
+    def _end(self, end: bytes) -> bytes:
+        found = self.ends.get(end)
+        if found is None:
+            (found,) = self._by_library([end])
+            if len(self.ends) < ENDS and len(end) <= END_BYTES:
+                self.ends[end] = found
+        return found
 
     def _encode(self, chunks: list[bytes]) -> list[bytes]:
-        cut = [(c,) if b"<|" in c else _word_and_tail(c) for c in chunks]  # special strings are left whole
-        kept = self.chunks.kept
-        missing = list({part for parts in cut for part in parts if part not in kept})
-        new = dict(zip(missing, self._by_library(missing), strict=True))
-        return [b"".join([new[p] if p in new else kept[p] for p in parts]) for parts in cut]
+        """A word of plain lower-case letters is given to the library's model itself, as its normaliser leaves it alone and its
+        splitter finds one piece; all but it and the punctuation behind it to the whole library."""
+        tokenize, kept, new = self.tokenizer.model.tokenize, self.chunks.kept.get, {}
+        out, rest = [], []
+        for c in chunks:
+            word = c.rstrip(_TAIL)
+            # isalpha is about ASCII here, and chunks are lower-cased; special strings are left whole
+            if not (ascii := word.isalpha()) and not _PLAIN.match(word) or b"<|" in c:
+                rest.append(len(out))
+                out.append(c)
+                continue
+            ids = kept(word) or new.get(word)
+            if ids is None:
+                symbols = word.decode() if ascii else word.decode("latin-1").translate(_SYMBOLS)
+                ids = new[word] = array("I", [t.id for t in tokenize(symbols)]).tobytes()
+            out.append(ids if len(word) == len(c) else ids + self._end(c[len(word) :]))
+        for k, ids in zip(rest, self._by_library([out[k] for k in rest]), strict=True):
+            out[k] = ids
+        return out
 
     def _units(self, data: bytes) -> list[bytes]:
         odd = len(data) != len(data.translate(None, _ODD_CONTROLS)) if data.isascii() else _ODD_SPACE.search(data)

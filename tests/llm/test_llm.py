@@ -112,6 +112,15 @@ def test_spaceless_encoder():
     assert packing.SpacelessEncoder(WORD_JSON).encode([t.encode() for t in texts]) == [np.array(library.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
 
 
+def test_new_plain_words_skip_the_library_and_their_endings_are_remembered():
+    library, encoder, asked = Tokenizer.from_file(WORD_JSON), packing.SpacelessEncoder(WORD_JSON), []
+    by_library = encoder._by_library
+    encoder._by_library = lambda chunks: asked.extend(chunks) or by_library(chunks)
+    texts = ["Alpha, beta. été!", "gamma, DELTA. zeta, gamma! über. don't. x<| 7, ..."]
+    assert encoder.encode([t.encode() for t in texts[:1]]) + encoder.encode([t.encode() for t in texts[1:]]) == [np.array(library.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
+    assert sorted(asked) == sorted([b",", b".", b"!", b"don't.", b"x<|", b"7,", b"..."])
+
+
 def check_packing(spark, docs, capacity):
     library = Tokenizer.from_file(WORD_JSON)
     rows = packing.pack_documents(docs, WORD_JSON, capacity).collect()
